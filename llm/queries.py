@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from llm.simhash import dedup_simhash
 from llm.substrings import dedup_substrings
+from llm.suffixes import dedup_suffixes
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +15,14 @@ def op8_substring_dedup(spark, sf_dir):
     return dedup_substrings(spark, _table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op8_substring_dedup,)}
+def op7_suffix_dedup(spark, sf_dir):
+    return dedup_suffixes(spark, _table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op10_simhash_dedup(spark, sf_dir):
+    return dedup_simhash(spark, _table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op7_suffix_dedup, op8_substring_dedup, op10_simhash_dedup)}
 
 ORACLE = {}
