@@ -67,21 +67,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id and text (null: empty) of the documents.
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """rid, doc_id and text (null: empty) of the documents, and the columns of more.
 
     rid orders as doc_id and is doc_id where ids are unique.  Where they aren't, rows of one id and
     equal texts share a rid (one document, listed repeatedly) and other texts get rids of their own,
     in the order of their hashes.  A null id is a key of its own, before all others.
     """
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
     repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1)
     if not repeated.count():
-        return rows.select(rid.alias("rid"), "doc_id", "text")
+        return rows.select(rid.alias("rid"), "doc_id", "text", *more)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     wide = F.when(F.col("doc_id").isNull(), F.lit(NULL_ID)).otherwise(F.col("doc_id").cast("long") * 4096)
-    return rows.select((wide + F.dense_rank().over(order) - 1).alias("rid"), "doc_id", "text")
+    return rows.select((wide + F.dense_rank().over(order) - 1).alias("rid"), "doc_id", "text", *more)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

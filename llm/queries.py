@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from llm.bpe import bpe_round_trip, id_digest, token_counts
+from llm.minhash import fingerprint_neighbours
+from llm.mixing import MIXING_SQL, draw
 from llm.simhash import dedup_simhash
 from llm.substrings import dedup_substrings
 from llm.suffixes import dedup_suffixes
+from llm.warc import capture_index
 
 
 def _table(spark, sf_dir, name):
@@ -15,14 +22,35 @@ def op8_substring_dedup(spark, sf_dir):
     return dedup_substrings(spark, _table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op1_bpe_round_trip(spark, sf_dir):
+    out = bpe_round_trip(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", id_digest().alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_order_minhash(spark, sf_dir):
+    return fingerprint_neighbours(spark, _table(spark, sf_dir, "documents"))
+
+
+def op4_temperature_mixing(spark, sf_dir):
+    return draw(_table(spark, sf_dir, "documents")).drop("rid")
+
+
+def op6_token_counts(spark, sf_dir):
+    return token_counts(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op7_suffix_dedup(spark, sf_dir):
     return dedup_suffixes(spark, _table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_warc_index(spark, sf_dir):
+    return capture_index(spark, _table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_dedup(spark, sf_dir):
     return dedup_simhash(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_suffix_dedup, op8_substring_dedup, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_order_minhash, op4_temperature_mixing, op6_token_counts, op7_suffix_dedup, op8_substring_dedup, op9_warc_index, op10_simhash_dedup)}
 
-ORACLE = {}
+ORACLE = {"op4_temperature_mixing": MIXING_SQL}
