@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from llm.bpe import bpe_round_trip, id_digest, token_counts
+from llm.covertree import link_embeddings
 from llm.minhash import fingerprint_neighbours
 from llm.mixing import MIXING_SQL, draw
 from llm.simhash import dedup_simhash
 from llm.substrings import dedup_substrings
 from llm.suffixes import dedup_suffixes
+from llm.toxicity import score_toxicity
 from llm.warc import capture_index
 
 
@@ -31,10 +33,18 @@ def op2_order_minhash(spark, sf_dir):
     return fingerprint_neighbours(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return link_embeddings(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op4_temperature_mixing(spark, sf_dir):
     return draw(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op5_toxicity(spark, sf_dir):
+    return score_toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark, sf_dir):
     return token_counts(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -51,6 +61,18 @@ def op10_simhash_dedup(spark, sf_dir):
     return dedup_simhash(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_order_minhash, op4_temperature_mixing, op6_token_counts, op7_suffix_dedup, op8_substring_dedup, op9_warc_index, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_order_minhash, op3_embedding_dedup, op4_temperature_mixing, op5_toxicity, op6_token_counts, op7_suffix_dedup, op8_substring_dedup, op9_warc_index, op10_simhash_dedup)}
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
+"""
 
-ORACLE = {"op4_temperature_mixing": MIXING_SQL}
+#: Records of equal long payloads: the last is the response.  The archive, its offsets and the derived key have no SQL.
+ORACLE = {"op3_embedding_dedup": EMBEDDING_SQL, "op4_temperature_mixing": MIXING_SQL}
