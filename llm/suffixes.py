@@ -15,8 +15,8 @@ A merged entry keeps its first occurrence and how often it occurs.  At the end t
 
 Runs that repeat as a whole are then known.  At the edges of a match an anchor hash has several span
 hashes.  There the windows of one run per class are dealt in blocks of 8 neighbouring offsets: the
-bytes that all 8 share (the core) must repeat for any of them to repeat, and the 7 bytes
-on either side, held in full, tell which of the 8 do.
+bytes that all 8 share (the core) must repeat for any of them to repeat; the 7 bytes on either
+side, held in full, tell which of the 8 do.  Blocks that are equal in all repeat as a whole, so only those at an edge are opened.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ class Family:
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         name = f"{self.tag}_{self.made}"
-        df.write.bucketBy(self.buckets, "kh").sortBy("kh", "sh").option("path", self.stages.path(name)).format("parquet").saveAsTable(name)
+        df.write.bucketBy(self.buckets, "kh", "sh").sortBy("kh", "sh").option("path", self.stages.path(name)).format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -79,7 +79,7 @@ class Family:
     def add(self, runs: DataFrame) -> None:
         """Index a batch; merge with the level of its size as long as there is one."""
         entries = runs.select("kh", "sh", F.lit(1).cast("long").alias("n"), F.struct("rid", "start", "stop", "anchor").alias("first"))
-        new, size = self._write(_merge(entries.repartition(self.buckets, "kh"))), 1
+        new, size = self._write(_merge(entries)), 1
         while size in self.levels:
             new, size = self._join(new, self.levels.pop(size)), 2 * size
         self.levels[size] = new
@@ -145,25 +145,38 @@ def edge_blocks(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     return out.select("rid", F.col("at").cast("int"), "key", "left", "right", F.col("lo").cast("byte"), F.col("hi").cast("byte"))
 
 
-def edge_windows(blocks: DataFrame) -> DataFrame:
-    """Windows in repeated blocks: rid, start, and their key (key, j, left, right)."""
-    again = blocks.groupBy("key").count().filter("count > 1").select("key")
-    bits = lambda c, n: f"cast({c} & (shiftleft(1L, cast(8 * ({n}) as int)) - 1) as long)"
-    opened = blocks.join(again, "key").withColumn("j", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))))
-    return opened.selectExpr("rid", "at - j as start", "key", "j", f"{bits('left', 'j')} as left", f"{bits('right', f'{BLOCK - 1} - j')} as right")
+def edge_marks(st: Stages, blocks: DataFrame, length: int) -> DataFrame:
+    """rid, start, stop of the repeated windows in blocks.
+
+    Equal blocks (core, sides and places) are a class and repeat as a whole.  Where a key has several classes, those
+    that occur once are held against one of each other class, window by window.
+    """
+    shape = ["key", "left", "right", "lo", "hi"]
+    classes = st.put("block_classes", blocks.groupBy(*shape).agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
+    alike = classes.filter("n > 1").select(*shape)
+    st.put("block_marks", blocks.join(alike, shape).selectExpr("rid", "at - hi as start", f"at - lo + {length} as stop"))
+    several = classes.groupBy("key").count().filter("count > 1").select("key")
+    low = lambda c, n: f"cast({c} & (shiftleft(1L, cast(8 * ({n}) as int)) - 1) as bigint)"
+    opened = classes.join(several, "key", "left_semi").withColumn("j", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))))
+    opened = opened.selectExpr("if(n = 1, first.rid, null) as rid", "first.at - j as start", "key", f"xxhash64(j, {low('left', 'j')}, {low('right', f'{BLOCK - 1} - j')}) as window")
+    opened = st.put("opened", opened)
+    twice = opened.groupBy("key", "window").count().filter("count > 1").select("key", "window")
+    st.put("window_marks", opened.filter("rid is not null").join(twice, ["key", "window"]).selectExpr("rid", "start", f"start + {length} as stop"))
+    st.drop("opened", "block_classes")
+    return st.get("block_marks").unionByName(st.get("window_marks"))
 
 
 def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Texts without the bytes under the marks (rid, start, stop)."""
-    spans = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = marks.groupBy("rid").agg(F.collect_list(F.expr(W.packed_spans("start", "stop"))).alias("spans"))
 
     def cut(batches):
         for batch in batches:
             ids, out = batch.column("doc_id"), [[], [], [], [], []]
-            for x, spans in zip(texts(batch), batch.column("spans").to_pylist()):
-                gone = W.covered([(s["start"], s["stop"]) for s in spans or []], len(x))
-                kept = np.frombuffer(x, np.uint8)[~gone].tobytes()
-                row = (len(x), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept)
+            for x, spans in zip(texts(batch), W.span_lists(batch.column("spans"))):
+                starts, stops = W.union(spans)
+                kept = b"".join([x[a:b] for a, b in W.outside(starts, stops, len(x))])
+                row = (len(x), len(x) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept)
                 for c, v in zip(out, row):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -197,10 +210,6 @@ def dedup_suffixes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     family.drop()
     st.drop("runs")
     blocks = st.put("blocks", edge_blocks(rows, reps, length))
-    opened = st.put("opened", edge_windows(blocks))
-    key = ["key", "j", "left", "right"]
-    twice = opened.groupBy(*key).count().filter("count > 1").select(*key)
-    hit = opened.join(twice, key).select("rid", "start", (F.col("start") + length).alias("stop"))
-    st.put("single", hit)
-    st.drop("reps", "blocks", "opened")
-    return remove(rows, st.get("whole").unionByName(st.get("single")))
+    marks = edge_marks(st, blocks, length)
+    st.drop("reps", "blocks")
+    return remove(rows, st.get("whole").unionByName(marks))

@@ -21,6 +21,7 @@ false match takes a collision of two independent hashes.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -161,11 +162,27 @@ def word_symbols(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return Hashes(byte_symbols(data)).of(starts, ends) | U(1), starts, ends
 
 
-def covered(spans: list[tuple[int, int]], n: int) -> np.ndarray:
-    """Mask of [0, n) under the union of half-open spans."""
-    edge = np.zeros(n + 1, np.int32)
-    if spans:
-        s = np.asarray(spans, np.int64).reshape(-1, 2)
-        np.add.at(edge, s[:, 0], 1)
-        np.add.at(edge, np.minimum(s[:, 1], n), -1)
-    return np.cumsum(edge[:-1]) > 0
+def packed_spans(start: str, stop: str) -> str:
+    """SQL for one span as a long, so that a list of them is one flat array."""
+    return f"shiftleft(cast({start} as bigint), 32) | cast({stop} as bigint)"
+
+
+def span_lists(column: pa.Array) -> list[np.ndarray]:
+    """The packed spans of each row of an Arrow list column; null: none."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
+def union(spans: np.ndarray) -> tuple[list[int], list[int]]:
+    """Starts and stops of the maximal stretches under packed spans; spans that touch are one stretch."""
+    if not len(spans):
+        return [], []
+    spans = np.sort(spans)
+    start, stop = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    new = np.r_[True, start[1:] > stop[:-1]]
+    return start[new].tolist(), stop[np.r_[new[1:], True]].tolist()
+
+
+def outside(starts: list[int], stops: list[int], n: int):
+    """The stretches of [0, n) between disjoint sorted ones."""
+    return zip([0, *stops], [*starts, n])
