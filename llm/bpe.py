@@ -20,13 +20,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import small_batches, texts
+from llm.common import chunks, small_batches, texts
 
-NONE = np.int64(1 << 40)
+NONE = np.int32(2**31 - 1)
 #: Rows longer than this are merged with a heap, in L log L instead of L * L.
 LONGEST_ROW = 2048
 #: Pre-tokens a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Characters of text that are split before their new pre-tokens are merged together.
+AT_ONCE = 3_000_000
 #: Cells of one matrix.
 CELLS = 1 << 20
 
@@ -35,9 +37,9 @@ class Pairs:
     """Hash table (left id, right id) -> rank, with the id that a rank yields."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, result: np.ndarray):
-        self.result = result
-        self.bits = max(4, int(2 * len(left)).bit_length())
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE)
+        self.result = result.astype(np.int32)
+        self.bits = max(4, int(3 * len(left)).bit_length())
+        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         key = left.astype(np.int64) << 24 | right
         slot = self._slot(key)
         while len(key):
@@ -54,7 +56,7 @@ class Pairs:
         """NONE where there is no such pair; ids below 0 are padding."""
         key = left.astype(np.int64) << 24 | right
         key[(left < 0) | (right < 0)] = -2
-        slot, out = self._slot(key), np.full(len(key), NONE)
+        slot, out = self._slot(key), np.full(len(key), NONE, np.int32)
         at = np.arange(len(key))
         while len(at):
             found = self.keys[slot]
@@ -64,57 +66,67 @@ class Pairs:
             at, key, slot = at[go], key[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def merge(self, rows: list[np.ndarray]) -> list[np.ndarray]:
-        """Each row of ids after all its merges."""
-        out: list = [None] * len(rows)
-        sizes = np.array([len(r) for r in rows], np.int64)
-        order, at = np.argsort(sizes, kind="stable"), 0
+    def merge(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows laid end to end (ids, and how many each has) after all their merges, laid out alike."""
+        begin = np.cumsum(sizes) - sizes
+        order, done, at = np.argsort(sizes, kind="stable"), [], 0
+        ordered = sizes[order]
         while at < len(order):
-            least = max(1, int(sizes[order[at]]))
+            least = max(1, int(ordered[at]))
             if least > LONGEST_ROW:
                 for i in order[at:]:
-                    out[i] = self._long(rows[i])
+                    row = self._long(ids[begin[i] : begin[i] + sizes[i]])
+                    done.append((np.array([i]), np.array([len(row)]), row))
                 break
             # a bucket: lengths within a quarter of the least
-            end = int(np.searchsorted(sizes[order], least + max(1, least // 4), "right"))
-            end = min(end, at + max(1, CELLS // (least + max(1, least // 4))))
-            self._matrix([rows[i] for i in order[at:end]], order[at:end], out)
+            most = least + least // 4
+            end = min(int(np.searchsorted(ordered, most, "right")), at + max(1, CELLS // most))
+            rows = order[at:end]
+            m = np.full((len(rows), max(2, most)), -1, np.int32)
+            places = np.repeat(begin[rows], sizes[rows]) + _within(sizes[rows])
+            m[np.arange(m.shape[1]) < sizes[rows, None]] = ids[places]
+            done += self._matrix(m, rows)
             at = end
-        return out
-
-    def _matrix(self, rows: list[np.ndarray], places: np.ndarray, out: list) -> None:
-        sizes = np.array([len(r) for r in rows])
-        width = int(sizes.max(initial=0))
-        m = np.full((len(rows), max(2, width)), -1, np.int64)
-        m[np.arange(m.shape[1]) < sizes[:, None]] = np.concatenate(rows) if width else np.zeros(0, np.int64)
-        ranks = self.rank(m[:, :-1].ravel(), m[:, 1:].ravel()).reshape(len(rows), -1)
+        counts = np.zeros(len(sizes), np.int64)
+        for rows, n, _ in done:
+            counts[rows] = n
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        for rows, n, row_ids in done:
+            out[np.repeat(begin[rows], n) + _within(n)] = row_ids
+        return out, counts
+
+    def _matrix(self, m: np.ndarray, rows: np.ndarray) -> list:
+        """(rows, counts, ids) of what each round finishes."""
+        ranks, out = self.rank(m[:, :-1].ravel(), m[:, 1:].ravel()).reshape(len(m), -1), []
         while len(m):
+            i = np.arange(len(m))
             j = ranks.argmin(axis=1)
-            best = ranks[np.arange(len(m)), j]
-            for i in np.flatnonzero(best == NONE):
-                row = m[i]
-                out[places[i]] = row[row >= 0]
+            best = ranks[i, j]
             go = best != NONE
             if not go.all():
-                m, ranks, places, j, best = m[go], ranks[go], places[go], j[go], best[go]
+                ended = m[~go]
+                held = ended >= 0
+                out.append((rows[~go], held.sum(axis=1), ended[held]))
+                m, ranks, rows, j, best = m[go], ranks[go], rows[go], j[go], best[go]
+                i = np.arange(len(m))
             if not len(m):
-                return
-            n, width = m.shape
-            i = np.arange(n)
+                break
+            width = m.shape[1]
             m[i, j] = self.result[best]
-            keep = np.ones((n, width), bool)
+            keep = np.ones(m.shape, bool)
             keep[i, j + 1] = False
-            m = m[keep].reshape(n, width - 1)
-            keep = np.ones((n, width - 1), bool)
-            keep[i, j] = False
-            ranks = ranks[keep].reshape(n, width - 2)
+            m = m[keep].reshape(len(m), width - 1)
             if width == 2:
-                m = np.pad(m, ((0, 0), (0, 1)), constant_values=-1)
-                ranks = np.full((n, 1), NONE)
-                continue
-            for at in (j - 1, j):
-                ok = (at >= 0) & (at < width - 2)
-                ranks[i[ok], at[ok]] = self.rank(m[i[ok], at[ok]], m[i[ok], at[ok] + 1])
+                out.append((rows, np.ones(len(m), np.int64), m[:, 0]))
+                break
+            keep = np.ones(ranks.shape, bool)
+            keep[i, j] = False
+            ranks = ranks[keep].reshape(len(m), width - 2)
+            left, right = j > 0, j < width - 2
+            x, y = np.r_[i[left], i[right]], np.r_[j[left] - 1, j[right]]
+            ranks[x, y] = self.rank(m[x, y], m[x, y + 1])
+        return out
 
     def _long(self, row: np.ndarray) -> np.ndarray:
         """Leftmost least pair first, by a heap over a linked list."""
@@ -140,44 +152,44 @@ class Pairs:
         return np.array([t for t, ok in zip(ids, live) if ok], np.int64)
 
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... inside each of the stretches of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 class Encoder:
     """A vocabulary of byte strings with its merges; splits text by a pattern."""
 
     def __init__(self, vocab: dict[bytes, int], pairs: Pairs, pattern: str, whole: dict[str, tuple]):
         self.vocab, self.pairs, self.find = vocab, pairs, regex.compile(pattern).findall
         self.byte = np.array([vocab.get(bytes([b]), -1) for b in range(256)], np.int64)
-        self.whole, self.known = whole, {}
+        self.whole, self.known = whole, dict(whole)
         self.bytes_of = {i: b for b, i in vocab.items()}
 
     def learn(self, words: set[str]) -> None:
         """Merge the pre-tokens that aren't known yet."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known and w not in self.whole]
-        rows = self.pairs.merge([self.byte[np.frombuffer(w.encode(), np.uint8)] for w in new])
-        self.known |= {w: tuple(r.tolist()) for w, r in zip(new, rows)}
+            self.known = dict(self.whole)
+        new = [w for w in words if w not in self.known]
+        rows, ends = self.merged([w.encode() for w in new])
+        self.known |= {w: tuple(rows[a:b]) for w, a, b in zip(new, [0, *ends], ends)}
+
+    def merged(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """Ids of all words end to end, and where each ends."""
+        ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        out, counts = self.pairs.merge(ids, np.fromiter(map(len, words), np.int64, len(words)))
+        return out.tolist(), np.cumsum(counts).tolist()
 
     def encode(self, data: list[str]) -> list[list[int]]:
         words = [self.find(x) for x in data]
         self.learn(set(itertools.chain.from_iterable(words)))
-        of = _Both(self.whole, self.known).__getitem__
+        of = self.known.__getitem__
         return [list(itertools.chain.from_iterable(map(of, w))) for w in words]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class _Both(dict):
-    """The second mapping where the first has nothing."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
-
-
 @functools.lru_cache(4)
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """From a rank file (base64 token, rank a line): two neighbours merge if their bytes together are a token."""
@@ -217,13 +229,14 @@ def merge_encoder(path: str, pattern: str) -> tuple[Encoder, list[str]]:
     left, right, result = np.array(sides, np.int64).T
     encoder = Encoder(vocab, Pairs(left, right, np.arange(len(sides)), result), pattern, {})
     names = list(vocab)
-    rows = encoder.pairs.merge([encoder.byte[np.frombuffer(t, np.uint8)] for t in names])
-    for t, r in zip(names, rows):
-        if len(r) == 1:
+    rows, ends = encoder.merged(names)
+    for t, a, b in zip(names, [0, *ends], ends):
+        if b - a == 1:
             try:
-                encoder.whole[t.decode()] = (int(r[0]),)
+                encoder.whole[t.decode()] = (rows[a],)
             except UnicodeDecodeError:
                 continue
+    encoder.known = dict(encoder.whole)
     return encoder, added
 
 
@@ -241,8 +254,8 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, path: str, pattern: str
         for batch in batches:
             data = [x.decode() for x in texts(batch)]
             ids = []
-            for at in range(0, len(data), 100):
-                ids += encoder.encode(data[at : at + 100])
+            for part in chunks(data, AT_ONCE):
+                ids += encoder.encode(data[part.start : part.stop])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([np.array(x, np.int32) for x in ids], pa.list_(pa.int32())), pa.array(map(encoder.decode, ids), pa.binary())],
                 ["doc_id", "n_tokens", "ids", "decoded"],
@@ -270,8 +283,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str, pattern: str,
         cut = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         for batch in batches:
             raw, counts = texts(batch), []
-            for at in range(0, len(raw), 100):
-                parts = [cut.split(x.decode()) if cut else [x.decode()] for x in raw[at : at + 100]]
+            for part in chunks(raw, AT_ONCE):
+                parts = [cut.split(x.decode()) if cut else [x.decode()] for x in raw[part.start : part.stop]]
                 words = [list(itertools.chain.from_iterable(map(encoder.find, p))) for p in parts]
                 rest = [[w for w in x if w not in encoder.whole] for x in words]
                 encoder.learn(set(itertools.chain.from_iterable(rest)))
