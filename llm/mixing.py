@@ -78,8 +78,9 @@ def draw(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The documents, each as often as it is drawn."""
     drawn = draw(docs, **how).select("rid", "epoch").distinct().groupBy("rid").agg(F.count("*").alias("times"))
-    rows = keyed(docs, *(c for c in docs.columns if c not in ("doc_id", "text")))
-    return rows.join(drawn, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    # The row travels as one column, so its names can't clash.
+    rows = keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row").select("rid", "row")
+    return rows.join(drawn, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 #: The same in SQL.  Whole words are counted by the same pattern.
