@@ -135,17 +135,18 @@ def open_windows(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
 def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Texts without the words under the marks (rid, start, stop): doc_id, n_words, n_removed, kept_sha256, kept."""
-    spans = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = marks.groupBy("rid").agg(F.collect_list(F.expr(W.packed_spans("start", "stop"))).alias("spans"))
 
     def cut(batches):
         for batch in batches:
             ids, out = batch.column("doc_id"), {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for x, spans in zip(texts(batch), batch.column("spans").to_pylist()):
-                starts, ends = W.word_bounds(x)
-                gone = W.covered([(s["start"], s["stop"]) for s in spans or []], len(starts))
-                kept = b" ".join([x[a:b] for a, b in zip(starts[~gone].tolist(), ends[~gone].tolist())])
-                out["n_words"].append(len(starts))
-                out["n_removed"].append(int(gone.sum()))
+            for x, spans in zip(texts(batch), W.span_lists(batch.column("spans"))):
+                starts, ends = (b.tolist() for b in W.word_bounds(x))
+                words = [x[a:b] for a, b in zip(starts, ends)]
+                stay = [w for a, b in W.outside(*W.union(spans), len(words)) for w in words[a:b]]
+                kept = b" ".join(stay)
+                out["n_words"].append(len(words))
+                out["n_removed"].append(len(words) - len(stay))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept)
             schema = pa.schema([("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
