@@ -26,7 +26,7 @@ NONE = np.int32(2**31 - 1)
 #: Rows longer than this are merged with a heap, in L log L instead of L * L.
 LONGEST_ROW = 2048
 #: Pre-tokens a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Characters of text that are split before their new pre-tokens are merged together.
 AT_ONCE = 3_000_000
 #: Cells of one matrix.
@@ -165,11 +165,13 @@ class Encoder:
         self.byte = np.array([vocab.get(bytes([b]), -1) for b in range(256)], np.int64)
         self.whole, self.known = whole, dict(whole)
         self.bytes_of = {i: b for b, i in vocab.items()}
+        #: One object for each id: what is remembered shares them.
+        self.ints = np.array(range(max(vocab.values()) + 1), object)
 
     def learn(self, words: set[str]) -> None:
         """Merge the pre-tokens that aren't known yet."""
         if len(self.known) > REMEMBERED:
-            self.known = dict(self.whole)
+            self.known = self.whole | {w: self.known[w] for w in words if w in self.known}
         new = [w for w in words if w not in self.known]
         rows, ends = self.merged([w.encode() for w in new])
         self.known |= {w: tuple(rows[a:b]) for w, a, b in zip(new, [0, *ends], ends)}
@@ -178,7 +180,7 @@ class Encoder:
         """Ids of all words end to end, and where each ends."""
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         out, counts = self.pairs.merge(ids, np.fromiter(map(len, words), np.int64, len(words)))
-        return out.tolist(), np.cumsum(counts).tolist()
+        return self.ints[out].tolist(), np.cumsum(counts).tolist()
 
     def encode(self, data: list[str]) -> list[list[int]]:
         words = [self.find(x) for x in data]

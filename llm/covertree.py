@@ -75,10 +75,8 @@ class CoverTree:
             astray = parent[of] != leaf
             if astray.any():
                 pair, back = np.unique(np.stack([of[astray], leaf[astray]]), axis=1, return_inverse=True)
-                extra = np.array([np.flatnonzero(astray)[np.argmax(back.ravel() == i)] for i in range(pair.shape[1])]) if pair.shape[1] < 200 else None
-                if extra is None:
-                    _, first = np.unique(back.ravel(), return_index=True)
-                    extra = np.flatnonzero(astray)[first]
+                _, first = np.unique(back.ravel(), return_index=True)
+                extra = np.flatnonzero(astray)[first]
                 of[astray] = len(new) + back.ravel()
                 new += extra.tolist()
                 parent = leaf[np.array(new)]
@@ -194,18 +192,15 @@ def link_embeddings(spark: SparkSession, table: DataFrame, cosine: float = COSIN
 
     def place(batches):
         for batch in batches:
-            cell, far = [], []
-            for v in batch.column("v").to_pylist():
-                net = nets.get(len(v))
-                if net is None:
-                    cell.append(0)
-                    far.append(2.0)
-                    continue
-                d = np.sqrt(np.maximum(0, ((net - unit(np.array([v]))) ** 2).sum(axis=1)))
-                cell.append(int(d.argmin()))
-                far.append(float(d.min()))
-            size = [len(v) for v in batch.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("v"), pa.array(size, pa.int32()), pa.array(cell, pa.int32()), pa.array(far)], ["cid", "n", "v", "dim", "cell", "far"])
+            v = batch.column("v").to_pylist()
+            size = np.array([len(x) for x in v])
+            cell, far = np.zeros(len(v), np.int32), np.full(len(v), 2.0)
+            for one in set(size.tolist()) & set(nets):
+                at = np.flatnonzero(size == one)
+                x = unit(np.array([v[i] for i in at]))
+                d = np.sqrt(np.maximum(0, np.stack([((x - c) ** 2).sum(axis=1) for c in nets[one]], axis=1)))
+                cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("v"), pa.array(size, pa.int32()), pa.array(cell), pa.array(far)], ["cid", "n", "v", "dim", "cell", "far"])
 
     placed = st.put("placed", classes.select("cid", "n", "v").mapInArrow(place, "cid long, n long, v array<double>, dim int, cell int, far double"))
     # at most `cells` rows for each vector length

@@ -54,7 +54,7 @@ def op7_suffix_dedup(spark, sf_dir):
 
 
 def op9_warc_index(spark, sf_dir):
-    return capture_index(spark, _table(spark, sf_dir, "pages"))
+    return capture_index(spark, _table(spark, sf_dir, "pages")).drop("archive", "offset")
 
 
 def op10_simhash_dedup(spark, sf_dir):
@@ -74,5 +74,23 @@ n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN n USING (vec_id)
 """
 
-#: Records of equal long payloads: the last is the response.  The archive, its offsets and the derived key have no SQL.
-ORACLE = {"op3_embedding_dedup": EMBEDDING_SQL, "op4_temperature_mixing": MIXING_SQL}
+#: A window's first occurrence stays; the words under any later one go.
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS t FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS j FROM w) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
+
+#: Of equal payloads of 1000 bytes or more the last is the response.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, lower(coalesce(url, '')) AS u FROM pages),
+x AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last, strlen(h) AS n FROM p),
+parts AS (SELECT *, regexp_extract(u, '^https?://(?:www[0-9]*\.)?([^/?#:]*)', 1) AS host, regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM x)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND last > page_id THEN last END AS refers_to,
+  array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
+  strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM parts
+"""
+
+ORACLE = {"op3_embedding_dedup": EMBEDDING_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op9_warc_index": WARC_SQL, "op4_temperature_mixing": MIXING_SQL}
