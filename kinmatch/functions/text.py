@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: w != "")
 
 
-STOP = sorted({__import__("re").sub(r"([a-z])\1+", r"\1", w) for w in C.NAME_STOP})
+STOP = sorted({re.sub(r"([a-z])\1+", r"\1", w) for w in C.NAME_STOP})
 
 
 def finish(tokens: Column, known: Column, noise: Column, stop: list[str]) -> Column:

@@ -206,6 +206,8 @@ ORACLE: dict[str, str] = {
     "text_lines": sql("rec", "SELECT entity_id, entity_id || chr(9) || business_name AS line FROM rec"),
     "country_partitions": sql("norm", "SELECT entity_id, country, nm FROM norm WHERE country IN ('de', 'fr')"),
     "staged_norm": sql("norm", "SELECT entity_id, nm, ad FROM norm"),
+    "json_artefacts": sql("fill_nm", "SELECT country, tok FROM fill_nm"),
+    "frequent_words": sql("norm", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, tok) AS place FROM (SELECT country, tok, count(*) AS n FROM (SELECT country, unnest({_words('nm')}) AS tok FROM norm) GROUP BY ALL)) WHERE place <= 10"),
     "name_tokens": sql("norm", "SELECT entity_id, nm FROM norm"),
     "addr_tokens": sql("norm", "SELECT entity_id, ad FROM norm"),
     "metadata_projection": sql("meta", "SELECT entity_id, raw_name, raw_addr, translit, coalesce(array_to_string(nums, ','), '') AS nums, num1 FROM meta"),

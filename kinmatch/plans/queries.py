@@ -200,6 +200,37 @@ def staged_norm(v):
     return io.stage(v.norm, path).select("entity_id", "nm", "ad")
 
 
+@query
+def json_artefacts(v):
+    """The mined lexicons as a JSON artefact, written, read back and laid out again.  They hold only what passed a support threshold."""
+    path = scratch(v.spark, "noise")
+    noise: dict = {}
+    for r in learn.filler_words(v.norm, "nm", SMALL.noise_lift_name, SMALL.noise_share).collect():
+        noise.setdefault(r["country"], []).append(r["tok"])
+    io.write_json(v.spark, noise, path)
+    return v.spark.createDataFrame([(c, t) for c, words in io.read_json(v.spark, path).items() for t in words], "country string, tok string")
+
+
+@query
+def experiment_log(v):
+    """Two runs, logged with their verdicts; the log is read back."""
+    path = scratch(v.spark, "log")
+    f = [decide.macro_f05(decide.assign(v.scored, t), v.gt, v.entries).first()["f05"] for t in (THRESHOLD, 0.6)]
+    for i, x in enumerate(f):
+        io.append_log(v.spark, path, {"run": i, "f05": x}, i == 0 or x > f[i - 1])
+    return v.spark.read.schema("result string, verdict string").json(path)
+
+
+@query
+def frequent_words(v):
+    """The ten most frequent name words of each country."""
+    from pyspark.sql import Window
+
+    n = v.norm.select("country", F.explode(T.words(F.col("nm"))).alias("tok")).groupBy("country", "tok").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "tok"))
+    return n.withColumn("place", place).filter("place <= 10")
+
+
 # Text
 
 
@@ -734,6 +765,14 @@ def feature_gain(v):
     return v.spark.createDataFrame(model.gain(m, COLUMNS), "feature string, gain double")
 
 
+@query
+def model_round_trip(v):
+    """A model saved, loaded and used."""
+    f, path = _training(v), scratch(v.spark, "model")
+    model.fit(f, COLUMNS, maxIter=3, maxDepth=3).save(path)
+    return model.score(model.PipelineModel.load(path), f, COLUMNS).select("q", "s1", "label", "p")
+
+
 @query
 def ensemble_grid(v):
     """F0.5 of blends of two models over weights and thresholds, scored out of sample."""
