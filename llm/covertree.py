@@ -147,7 +147,7 @@ def _compare(blobs: dict[int, bytes], cosine: float) -> tuple[np.ndarray, np.nda
     a = pickle.loads(blobs[0])
     b = pickle.loads(blobs[1]) if 1 in blobs else a
     same = b is a
-    links, label, base = np.zeros(len(a["id"]) + (0 if same else len(b["id"])), np.int64), None, 0 if same else len(a["id"])
+    links, base = np.zeros(len(a["id"]) + (0 if same else len(b["id"])), np.int64), 0 if same else len(a["id"])
     pairs = []
     for i, j in dual(a["x"], a["tree"], b["x"], b["tree"], cosine):
         if same:

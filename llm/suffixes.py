@@ -3,7 +3,7 @@
 Every byte covered by a `length`-byte string that also starts anywhere else is removed.
 
 The corpus comes in batches.  A batch gets a sparse suffix array: the suffixes at the anchors of its
-windows (windows.py), about one in 85 bytes, in the order of (anchor hash, span hash), bucketed
+windows (windows.py), about one in 70 bytes, in the order of (anchor hash, span hash), bucketed
 by that key.  Adjacent entries of equal key share a whole run of windows, so they match for `length`
 bytes and more.  Entries are ordered by hashes of what they start with, not by the bytes themselves: all that is asked
 of neighbours is whether they are equal over a run.
