@@ -33,10 +33,9 @@ def expected_f(pairs: DataFrame) -> DataFrame:
         "tot": F.sum("p").over(w), "none": F.product(1 - F.col("p")).over(w),
     })
     b = b.withColumn("ef", F.round(1.25 * F.col("cum") / (0.25 * F.col("tot") + F.col("k")), 9))
-    top = b.groupBy("s1").agg(F.max("ef").alias("best"))
-    b = b.join(top, "s1")
-    k = b.filter("ef = best").groupBy("s1").agg(F.min("k").alias("best_k"))
-    return b.join(k, "s1").filter("k <= best_k and best > none").select("q", "s1", "p")
+    b = b.withColumn("best", F.max("ef").over(w))
+    b = b.withColumn("best_k", F.min(F.when(F.col("ef") == F.col("best"), F.col("k"))).over(w))
+    return b.filter("k <= best_k and best > none").select("q", "s1", "p")
 
 
 def decide(pairs: DataFrame, rule: str, threshold: float) -> DataFrame:

@@ -93,8 +93,9 @@ class View:
 
     @functools.cached_property
     def full(self):
+        """All candidates, written once: what follows reads them several times."""
         both = block.key_union(self.keyed)
-        return block.assemble(self.top, both, block.key_only(both, self.top, self.weights, SMALL))
+        return io.stage(block.assemble(self.top, both, block.key_only(both, self.top, self.weights, SMALL)), scratch(self.spark, "candidates"))
 
     @functools.cached_property
     def cand(self):
