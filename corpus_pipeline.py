@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import bpe_round_trip, id_digest
-from llm.common import Stages, small_batches
+from llm.common import Stages, keyed, small_batches
 from llm.mixing import mix
-from llm.simhash import dedup_simhash
-from llm.substrings import dedup_substrings
+from llm.simhash import near_copies
+from llm.substrings import cut_repeats
 from llm.toxicity import THRESHOLD, fit, score
 
 
@@ -25,10 +25,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(spark, docs, model, threshold=THRESHOLD).filter("predicted = 0").select(*docs.columns)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, text and the whole row; a doc_id may be null or repeated, so stages pick and join on rid."""
+    return keyed(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "row")
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near copies."""
-    kept = dedup_simhash(spark, docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    """One document of each group of near copies: that of the least doc_id (null first), listed once."""
+    rows = _rows(docs)
+    kept = near_copies(spark, rows).filter("rid = component").select("rid").distinct()
+    return rows.select("rid", "row").join(kept, "rid", "left_semi").groupBy("rid").agg(F.min("row").alias("row")).select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +42,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document goes only if nothing is left of it that had words before.
     """
-    cut = dedup_substrings(spark, docs).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "kept").dropDuplicates(["cut_id"])
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left").filter("kept is null or kept <> ''")
-    text = F.coalesce("kept", "text")
-    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows = _rows(docs)
+    # Rows of one rid have one text, and so one remainder.
+    cut = cut_repeats(spark, rows).filter("n_removed > 0").select("rid", "kept").dropDuplicates(["rid"])
+    joined = rows.select("rid", "row").join(cut, "rid", "left").filter("kept is null or kept <> ''")
+    old = lambda c: F.col("row").getField(c)
+    text = F.coalesce("kept", old("text"))
+    n_chars = F.when(F.col("kept").isNull(), old("n_chars")).otherwise(F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[(text if c == "text" else n_chars if c == "n_chars" else old(c)).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

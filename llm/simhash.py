@@ -82,21 +82,26 @@ def links(st: Stages, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return st.get("near").unionByName(st.get("star"))
 
 
-def dedup_simhash(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id (least doc_id reachable by links).
-
-    Null and empty texts have fingerprint zero and link like others.  Rows of a null doc_id take part;
-    as a component's least id they count as null.  Rows that repeat a doc_id are told apart by their texts.
-    Other columns are ignored.  An empty table gives an empty table.
-    """
+def near_copies(spark: SparkSession, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """rid, doc_id, fp, component (least rid reachable by links) and its component_id (doc_id) of keyed rows."""
     small_batches(spark)
     st = Stages(spark, "simhash")
-    prints = st.put("prints", fingerprints(keyed(docs), shingle))
+    prints = st.put("prints", fingerprints(rows.select("rid", "doc_id", "text"), shingle))
     distinct = st.put("distinct", prints.groupBy("fp").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("least")))
     roots = components(st, links(st, distinct.select("node", "fp")))
     st.drop("variants", "near", "star", "crowd")
     ids = distinct.select(F.col("node").alias("component"), F.col("least").alias("component_id"))
-    of = distinct.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component")).join(ids, "component").select("fp", "component_id")
+    of = distinct.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component")).join(ids, "component").select("fp", "component", "component_id")
     st.put("of", of)
-    out = prints.join(st.get("of"), "fp", "left")
+    return prints.join(st.get("of"), "fp", "left")
+
+
+def dedup_simhash(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id (least doc_id reachable by links).
+
+    Null and empty texts have fingerprint zero and link like others.  Rows of a null doc_id take part;
+    as a component's least id they count as null.  Rows that repeat a doc_id are told apart by their texts.
+    Other columns are ignored.  An empty table gives an empty table.
+    """
+    out = near_copies(spark, keyed(docs), shingle)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -134,12 +134,12 @@ def open_windows(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 
 
 def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Texts without the words under the marks (rid, start, stop): doc_id, n_words, n_removed, kept_sha256, kept."""
+    """Texts without the words under the marks (rid, start, stop): rid, doc_id, n_words, n_removed, kept_sha256, kept."""
     spans = marks.groupBy("rid").agg(F.collect_list(F.expr(W.packed_spans("start", "stop"))).alias("spans"))
 
     def cut(batches):
         for batch in batches:
-            ids, out = batch.column("doc_id"), {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
+            rid, ids, out = batch.column("rid"), batch.column("doc_id"), {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
             for x, spans in zip(texts(batch), W.span_lists(batch.column("spans"))):
                 starts, ends = (b.tolist() for b in W.word_bounds(x))
                 words = [x[a:b] for a, b in zip(starts, ends)]
@@ -149,24 +149,19 @@ def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 out["n_removed"].append(len(words) - len(stay))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept)
-            schema = pa.schema([("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+            schema = pa.schema([("rid", rid.type), ("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
             out["kept"] = pa.array(out["kept"], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(out[c], schema.field(c).type) for c in out)], schema=schema)
+            yield pa.RecordBatch.from_arrays([rid, ids, *(pa.array(out[c], schema.field(c).type) for c in out)], schema=schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary")
+    out = docs.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(cut, f"rid long, doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the kept words, joined by a space).
-
-    Null and empty texts have no words and stay; texts below `length` words are never touched.  Of equal
-    windows the first in (doc_id, start) stays; a null doc_id comes first.  Identical rows of one doc_id
-    are one document.  Other columns are ignored.  An empty table gives an empty table.
-    """
+def cut_repeats(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gram: int = GRAM, max_bits: int = MAX_BITS) -> DataFrame:
+    """What dedup_substrings returns, and rid, of keyed rows."""
     small_batches(spark)
-    rows, st = keyed(docs), Stages(spark, "substrings")
+    rows, st = rows.select("rid", "doc_id", "text"), Stages(spark, "substrings")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # About 6 bytes a word, 2 / (length - gram + 2) anchors a word; eight cells for each.
     anchors = size / 6 * 2 / (length - gram + 2)
@@ -189,3 +184,13 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     st.put("single", single)
     st.drop("runs", "classes", "opened")
     return remove(rows, st.get("whole").unionByName(st.get("single")))
+
+
+def dedup_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept (the kept words, joined by a space).
+
+    Null and empty texts have no words and stay; texts below `length` words are never touched.  Of equal
+    windows the first in (doc_id, start) stays; a null doc_id comes first.  Identical rows of one doc_id
+    are one document.  Other columns are ignored.  An empty table gives an empty table.
+    """
+    return cut_repeats(spark, keyed(docs), length, gram, max_bits).drop("rid")
