@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from llm.bpe import bpe_round_trip, id_digest
 from llm.common import Stages, keyed, small_batches
 from llm.mixing import mix
-from llm.simhash import near_copies
+from llm.similar import similar_copies
 from llm.substrings import cut_repeats
 from llm.toxicity import THRESHOLD, fit, score
 
@@ -31,9 +31,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id (null first), listed once."""
+    """One document of each group of near copies: that of the least doc_id (null first), listed once.
+
+    Near copies share four fifths of their five-word shingles or more; op10's fingerprints only find most of them.
+    """
     rows = _rows(docs)
-    kept = near_copies(spark, rows).filter("rid = component").select("rid").distinct()
+    kept = similar_copies(spark, rows).select(F.col("component").alias("rid")).distinct()
     return rows.select("rid", "row").join(kept, "rid", "left_semi").groupBy("rid").agg(F.min("row").alias("row")).select("row.*")
 
 

@@ -2,7 +2,11 @@
 
 import random
 
+import brute
 import corpus_pipeline
+import pytest
+
+from llm import similar as similar_module
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -54,3 +58,29 @@ def test_substring_stage_keeps_null_ids_apart(spark):
     assert len(got) == 4 and sum(x[0] is None for x in got) == 4 and None in text and d in text
     left = " ".join(t for t in text if t).split()
     assert sorted(left) == sorted(f"{a} {b} {c} {d}".split())
+
+
+def similar(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return 10 * len(x & y) >= 8 * len(x | y)
+
+
+@pytest.mark.parametrize("bucket, rounds", [(32, 4), (2, 4), (2, 1)])
+def test_simhash_stage_finds_all_similar_texts(spark, bucket, rounds, monkeypatch):
+    monkeypatch.setattr(similar_module, "BUCKET", bucket)
+    monkeypatch.setattr(similar_module, "ROUNDS", rounds)
+    r = random.Random(5)
+    rows, line = [], words(r, 12)
+    for size in (3, 40, 90, 200):
+        base = words(r, size).split()
+        for edits in (0, 0, 1, 2, 3, 4, 5):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = words(r, 1)
+            rows.append((len(rows), " ".join(w)))
+    rows += [(len(rows) + i, f"{line} {words(r, i % 3)}".strip()) for i in range(9)]
+    rows += [(100, ""), (101, None), (102, " \n")]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if similar(rows[a][1] or "", rows[b][1] or "")]
+    root = brute.classes(len(rows), linked)
+    want = sorted(i for at, (i, _) in enumerate(rows) if root[at] == at)
+    assert sorted(x[0] for x in kept(corpus_pipeline.simhash_dedup, spark, rows)) == want
