@@ -180,7 +180,8 @@ def link_embeddings(spark: SparkSession, table: DataFrame, cosine: float = COSIN
     rows = table.select("vec_id", F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     usable = rows.filter(F.coalesce(good, F.lit(False)))
-    classes = st.put("classes", usable.groupBy("v").agg(F.min("id").alias("cid"), F.count("*").alias("n")))
+    # A class of equal vectors goes by a hash of the vector: vec_ids may be null or repeated.
+    classes = st.put("classes", usable.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.xxhash64("v")))
     sample = classes.orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
     nets: dict[int, np.ndarray] = {}
     for size in {len(v) for v in sample}:
@@ -239,8 +240,11 @@ def link_embeddings(spark: SparkSession, table: DataFrame, cosine: float = COSIN
     roots = components(st, found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     full = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    full = st.put("of", full.select("v", "n", "cid", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("component")))
-    st.drop("placed", "found")
+    full = st.put("whole", full.select("v", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("root")))
+    # two classes of one least id stay two components, of the same component_id
+    ids = full.groupBy("root").agg(F.min("least").alias("component"))
+    full = st.put("of", full.join(ids, "root").select("v", "n", "links", "component"))
+    st.drop("placed", "found", "whole")
     linked = rows.withColumn("v", F.when(F.coalesce(good, F.lit(False)), F.col("v"))).join(full, "v", "left")
     root = F.coalesce("component", "id")
     return linked.select("vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"), F.when(root != NULL_ID, root).alias("component_id"), (F.col("id") == root).alias("kept"))

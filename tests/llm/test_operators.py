@@ -224,6 +224,15 @@ def test_embeddings(spark, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in e for e in linked), root[i], root[i] == i)
 
 
+def test_embeddings_of_one_id(spark):
+    """Different vectors under one id or a null one have links of their own."""
+    x = np.eye(6).tolist()
+    rows = [(1, x[0]), (1, x[1]), (2, [1.0, 0.1, 0.0, 0.0, 0.0, 0.0]), (None, x[2]), (None, x[3]), (None, x[4]), (5, [0.0, 0.0, 0.1, 1.0, 0.0, 0.0]), (6, [0.0, 0.0, 0.0, 1.0, 0.1, 0.0]), (7, x[5])]
+    got = covertree.link_embeddings(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (None, 0, None, True), (None, 2, None, True), (None, 0, None, True), (5, 2, None, False), (6, 2, None, False), (7, 0, 7, True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_no_embeddings(spark):
     assert covertree.link_embeddings(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
