@@ -80,5 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Fingerprints, the classifier and the merges have no SQL; the stages are tested one by one.
+#: Fingerprints, the classifier and the merges have no SQL; the near-dedup and substring stages are tested, the other three and run() only through their operators.
 ORACLE_SQL = None
