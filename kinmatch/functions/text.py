@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinmatch import config as C
+from kinmatch.functions.similarity import transliterate
 
 ALIAS = r"(?i)^.*\b(?:" + "|".join(C.ALIAS_PHRASES) + r")\b[\s:.\-]*"
 
@@ -18,13 +19,19 @@ def squeeze(c: Column) -> Column:
 
 
 def latin(c: Column) -> Column:
-    """Lower case without Latin marks; other scripts go through functions.similarity.transliterate first."""
+    """Lower case without Latin marks, on the JVM."""
     c = F.translate(F.lower(c), C.LATIN_FROM, C.LATIN_TO)
     for a, b in C.LATIN_DOUBLE.items():
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
+def plain(c: Column) -> Column:
+    """Lower-case ASCII of any script.  Only what is left of other scripts than Latin goes through Arrow."""
+    t = latin(c)
+    return F.coalesce(transliterate(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+
+
 def present(c: Column) -> Column:
     """The trimmed text; missing, blank and stand-ins for missing are ''."""
     t = squeeze(F.coalesce(c, F.lit("")))
@@ -38,7 +45,8 @@ def single_letters(c: Column) -> Column:
 def name_tokens(c: Column) -> Column:
     t = present(c)
     rest = F.regexp_replace(t, ALIAS, "")
-    t = latin(F.when(F.trim(rest) != "", rest).otherwise(t))
+    t = plain(F.when(F.trim(rest) != "", rest).otherwise(t))
+    # The patterns that a name loses.
     t = F.regexp_replace(t, r"\bwww\.|\.(?:com|net|org|in|co|fr|us|biz|info)\b|@", " ")
     t = F.regexp_replace(t, r"[0-9]{6,}", " ")
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"[.'`]", "")
@@ -46,10 +54,14 @@ def name_tokens(c: Column) -> Column:
 
 
 def addr_tokens(c: Column) -> Column:
-    t = F.regexp_replace(latin(present(c)), r"\bn/a\b|\bndeg|\bn°", " ")
+    # The patterns that an address loses.
+    t = F.regexp_replace(plain(F.regexp_replace(present(c), r"(?i)\bn°", " ")), r"\bn/a\b|\bndeg", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9]+", " "), r"\b0+([0-9])", "$1")
-    for phrase, short in C.ADDRESS_PHRASES.items():
-        t = F.regexp_replace(t, rf"\b{phrase}\b", short)
+    short = t
+    for phrase, to in C.ADDRESS_PHRASES.items():
+        short = F.regexp_replace(short, rf"\b{phrase}\b", to)
+    # one pass finds the few rows that have a phrase at all
+    t = F.when(t.rlike(rf"\b(?:{'|'.join(C.ADDRESS_PHRASES)})\b"), short).otherwise(t)
     words = F.filter(F.split(F.trim(t), " "), lambda w: (w != "") & ~w.isin("none", "na"))
     short = F.create_map(*[F.lit(x) for kv in C.ADDRESS_WORDS.items() for x in kv])
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(short, w), w)), " ")

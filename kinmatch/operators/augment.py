@@ -5,7 +5,9 @@ Chance is a hash of the record and a seed, so a run repeats itself whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYNTHETIC = "-SYN"
@@ -32,29 +34,49 @@ def insert_marker(name: Column, marker: Column, roll: Column) -> Column:
     return F.array_join(F.concat(F.slice(w, 1, at), F.array(marker), F.slice(w, at + 1, F.greatest(F.size(w), F.lit(1)))), " ")
 
 
-def make_decoys(pairs: DataFrame, markers: DataFrame, per_entry: float, seed: str = "decoy") -> DataFrame:
-    """Synthetic records from true pairs: s1, src, country, business_name, business_address, entity_id.
+#: Most copies that one row can be drawn as; at the rates in use here the chance of more is below the dice's step.
+MOST_COPIES = 12
+
+
+def resample(rows: DataFrame, rate: float, seed: str, *key: str) -> DataFrame:
+    """rows drawn with replacement, `rate` times each on average: the copies of a row, numbered from 0 in `copy`.
+
+    In a sample with replacement from many rows, the copies of each follow a Poisson law; here its quantile at the row's dice.
+    Nothing is counted or sorted, so a draw needs no shuffle.
+    """
+    law = [math.exp(-rate) * rate**k / math.factorial(k) for k in range(MOST_COPIES)]
+    roll = dice(seed, *[F.col(k) for k in key])
+    copies = sum((F.when(roll >= F.lit(sum(law[: k + 1]) * 1_000_000), 1).otherwise(0) for k in range(MOST_COPIES)), F.lit(0))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).filter(F.col("copy") < copies)
+
+
+def sample_fraction(rows: DataFrame, fraction: float, seed: str, *key: str) -> DataFrame:
+    """About the given share of the rows, the same ones in every run."""
+    return rows.filter(dice(seed, *[F.col(k) for k in key]) < int(fraction * 1_000_000))
+
+
+def make_decoys(linked: DataFrame, loose: DataFrame, markers: DataFrame, quota: int, seed: str = "decoy") -> DataFrame:
+    """Synthetic records: src, country, business_name, business_address, entity_id, kind.
 
-    pairs: s1, q, src, country, business_name, business_address of the observation.  Entries get per_entry
-    decoys on average: the whole part each, one more by chance.  Four in five get another house number; three
-    in five, and all that kept theirs, a marker word of the country.  One that ends unchanged is dropped.
+    linked and loose: q, src, country, business_name, business_address of the observations with and without an entry.  About half
+    the quota is drawn from either, with replacement.  A loose one gets another house number and is dropped without one.  Of the linked ones four in
+    five get another number; three in five, and all that kept theirs, a marker word of the country.  One that ends unchanged is dropped.
     """
-    roll = lambda tag: dice(seed + tag, F.col("s1"), F.col("q"), F.col("copy").cast("string"))
-    turn = Window.partitionBy("s1").orderBy(dice(seed, F.col("s1"), F.col("q")), "q")
-    n = F.floor(F.lit(per_entry)) + (dice(seed + "n", F.col("s1")) < F.lit(per_entry % 1 * 1_000_000)).cast("int")
-    held = pairs.withColumns({"turn": F.row_number().over(turn), "of": F.count("*").over(Window.partitionBy("s1")), "n": n})
-    # copy c of an entry is made from its observations in turn
-    each = held.withColumn("copy", F.explode(F.expr("filter(sequence(0, cast(n as int)), c -> c < n and c % of = turn - 1)")))
+    sizes = linked.select(F.lit(1).alias("linked")).unionByName(loose.select(F.lit(0).alias("linked"))).agg(F.count_if(F.expr("linked = 1")).alias("m"), F.count_if(F.expr("linked = 0")).alias("l")).first()
+    half = quota // 2
+    drawn = resample(loose, half / max(1, sizes["l"]), f"{seed}l", "q").withColumn("kind", F.lit("reshift"))
+    drawn = drawn.unionByName(resample(linked, (quota - half) / max(1, sizes["m"]), f"{seed}m", "q").withColumn("kind", F.lit("mark")))
+    roll = lambda tag: dice(seed + tag, F.col("q"), F.col("copy").cast("string"))
     words = markers.groupBy("country").agg(F.array_sort(F.collect_set("tok")).alias("words"))
-    each = each.join(words, "country", "left")
-    shifted = F.when(roll("shift") < 800_000, shift_number(F.col("business_address"), roll("by"))).otherwise(F.col("business_address"))
-    each = each.withColumn("addr", shifted)
-    word = F.get("words", (roll("word") % F.greatest(F.size("words"), F.lit(1))).cast("int"))
-    marked = (F.coalesce(F.size("words"), F.lit(0)) > 0) & ((roll("mark") < 600_000) | (F.col("addr") == F.col("business_address")))
+    each = drawn.join(words, "country", "left").withColumn("again", F.col("kind") == "reshift")
+    moved = F.col("again") | (roll("shift") < 800_000)
+    each = each.withColumn("addr", F.when(moved, shift_number(F.col("business_address"), roll("by"))).otherwise(F.col("business_address")))
+    word = F.initcap(F.get("words", (roll("word") % F.greatest(F.size("words"), F.lit(1))).cast("int")))
+    marked = ~F.col("again") & (F.coalesce(F.size("words"), F.lit(0)) > 0) & ((roll("mark") < 600_000) | (F.col("addr") == F.col("business_address")))
     each = each.withColumn("name", F.when(marked, insert_marker(F.col("business_name"), word, roll("at"))).otherwise(F.col("business_name")))
     each = each.filter("name <> business_name or addr <> business_address")
-    ident = F.concat(F.lit("S"), F.col("src").cast("string"), F.lit(SYNTHETIC), F.md5(F.concat_ws("|", "s1", "q", "copy")))
-    return each.select("s1", "src", "country", F.col("name").alias("business_name"), F.col("addr").alias("business_address"), ident.alias("entity_id"))
+    ident = F.concat(F.lit("S"), F.col("src").cast("string"), F.lit(SYNTHETIC), F.md5(F.concat_ws("|", "q", "copy")))
+    return each.select("src", "country", F.col("name").alias("business_name"), F.col("addr").alias("business_address"), ident.alias("entity_id"), "kind")
 
 
 def without_decoys(records: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinmatch import config as C
 from kinmatch.config import Thresholds
 from kinmatch.functions import text as T
-from kinmatch.functions.similarity import levenshtein_similarity, similarity
+from kinmatch.functions.similarity import similarity
 
 KEY_BITS = (1, 2, 4, 8, 16)
 _STREET = r"\b[0-9]+\b[^a-z]*?(?:\b[a-z]{1,2}\b\s+)*\b([a-z]{3,})"
@@ -42,13 +42,12 @@ def catalogue_keys(keys: DataFrame, hub: int) -> DataFrame:
     return mine.join(size, ["country", "bit", "key"])
 
 
-def key_pairs(keys: DataFrame, t: Thresholds, kernel: str = "levenshtein") -> DataFrame:
+def key_pairs(keys: DataFrame, t: Thresholds, kernel: str = "ratio") -> DataFrame:
     """q, s1, bit, sim of the key_top entries that are nearest in the other field, per query and key."""
     s = catalogue_keys(keys, t.hub).select("country", "bit", "key", F.col("entity_id").alias("s1"), F.col("other").alias("o_s"))
     q = keys.filter("src > 1").select("country", "bit", "key", F.col("entity_id").alias("q"), F.col("other").alias("o_q"))
     met = q.join(s, ["country", "bit", "key"])
-    sim = levenshtein_similarity(F.col("o_q"), F.col("o_s")) if kernel == "levenshtein" else similarity(kernel, F.col("o_q"), F.col("o_s"))
-    met = met.withColumn("sim", F.round(sim, 6))
+    met = met.withColumn("sim", F.round(similarity(kernel, F.col("o_q"), F.col("o_s")), 6))
     best = Window.partitionBy("q", "bit").orderBy(F.desc("sim"), "s1")
     return met.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= t.key_top).select("q", "s1", "bit", "sim")
 
@@ -118,7 +117,7 @@ def assemble(top: DataFrame, keyed: DataFrame, alone: DataFrame) -> DataFrame:
     return first.unionByName(alone).withColumn("rank", F.row_number().over(best) - 1).select("q", "s1", "score", "name_cos", "addr_cos", "via_key", "rank")
 
 
-def candidates(norm: DataFrame, t: Thresholds, kernel: str = "levenshtein") -> DataFrame:
+def candidates(norm: DataFrame, t: Thresholds, kernel: str = "ratio") -> DataFrame:
     """All candidates of all queries."""
     tf = terms(norm)
     w = weights(tf, vocabulary(tf, norm, t))
@@ -158,11 +157,11 @@ def _each(names: list[str], rows: list[tuple]) -> Column:
 def forward_keys(records: DataFrame) -> DataFrame:
     """entity_id, src, country, clean, compact, core, tokens (4 letters or more, not generic), num, addr_tokens, skeleton, all_tokens, nums."""
     generic = F.array(*map(F.lit, C.GENERIC_WORDS))
-    t = T.latin(F.coalesce("business_name", F.lit("")))
+    t = T.plain(F.coalesce("business_name", F.lit("")))
     t = F.regexp_replace(t, r"\b([a-z0-9])\.([a-z0-9])\.?(?:\b|$)", "$1$2")
     t = F.regexp_replace(t, r"[-_/\\,:;*#~^|!?.'`\"\[\]<>]+", " ")
     clean = T.squeeze(F.regexp_replace(t, r"[&+]", " and "))
-    a = T.latin(F.coalesce("business_address", F.lit("")))
+    a = T.plain(F.coalesce("business_address", F.lit("")))
     out = records.select("entity_id", "src", "country", clean.alias("clean"), a.alias("a")).withColumn("all_tokens", T.words(F.col("clean")))
     first = F.filter(F.transform("all_tokens", lambda w, i: F.when(~F.array_contains(generic, w), i)), lambda i: i.isNotNull())
     core = F.when(F.size(first) > 0, F.array_join(F.slice("all_tokens", F.array_min(first) + 1, F.array_max(first) - F.array_min(first) + 1), " ")).otherwise(F.col("clean"))

@@ -165,11 +165,16 @@ def decode(p: np.ndarray) -> int:
     for k in range(1, n + 1):
         x, z = np.arange(k + 1)[:, None], np.arange(n - k + 1)[None, :]
         values.append(float((head[k][:, None] * tail[k][None, :] * 1.25 * x / (k + 0.25 * (x + z))).sum()))
-    return int(np.argmax(values))
+    # values that differ by rounding alone are ties, and the smaller k wins
+    return int(np.argmax(np.round(values, 12)))
 
 
-def decode_entries(pairs: DataFrame) -> DataFrame:
-    """q, s1, p of the observations that decode() keeps.  A group is the few observations whose best entry it is."""
+def decode_entries(pairs: DataFrame, longest: int = 400) -> DataFrame:
+    """q, s1, p of the observations that decode() keeps.
+
+    An entry's list is the observations whose best entry it is.  decode() takes cubic time, so a list of more than `longest` goes by
+    the closed form of expected_f() instead.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -180,5 +185,8 @@ def decode_entries(pairs: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("s1").orderBy(F.desc("p"), "q")
     best = best_entry(pairs).withColumn("r", F.row_number().over(order))
-    lists = best.groupBy("s1").agg(F.reverse(F.array_sort(F.collect_list("p"))).alias("p"))
-    return best.join(lists.mapInPandas(run, "s1 string, k int"), "s1").filter("r <= k").select("q", "s1", "p")
+    size = best.groupBy("s1").agg(F.count("*").alias("n"))
+    few, hubs = (best.join(size.filter(f"n {test} {longest}"), "s1", "left_semi") for test in ("<=", ">"))
+    lists = few.groupBy("s1").agg(F.reverse(F.array_sort(F.collect_list("p"))).alias("p"))
+    exact = few.join(lists.mapInPandas(run, "s1 string, k int"), "s1").filter("r <= k").select("q", "s1", "p")
+    return exact.unionByName(expected_f(hubs.select("q", "s1", "p")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kinmatch.functions import text as T
 from kinmatch.functions.similarity import levenshtein_similarity, similarity
 
+# The names of the columns.
 RETRIEVAL = ["rank", "score", "name_cos", "addr_cos", "via_key"]
 CONTEXT = ["top1", "top2", "s1_n", "s1_n0", "s1_rank", "gap", "margin"]
 TOKENS = ["n_xq", "n_xs", "g_same_num", "g_same_num_frac", "dec_max", "dec_sum", "s_num_mindiff", "s_num_in_q", "g_uniq_x"]
@@ -24,13 +25,18 @@ ALL = RETRIEVAL + CONTEXT + TOKENS + NAMES + SOURCE + FUZZY + NUMBERS + TIES
 CLIP = 1_000_000
 
 
+def clip(c: Column) -> Column:
+    """At most CLIP; null stays null (F.least would skip it)."""
+    return F.when(c.isNotNull(), F.least(c, F.lit(CLIP)))
+
+
 def metadata(norm: DataFrame) -> DataFrame:
-    """entity_id, src, country, nm, ad, raw_name, raw_addr, translit, nums, num1, full (unique words of the unfinished name)."""
+    """entity_id, src, country, nm, ad, raw_name, raw_addr, translit, nums, num1, full (unique words of the respelt, unfinished name)."""
     raw = lambda c: F.lower(F.coalesce(c, F.lit("")))
     return norm.select(
         "entity_id", "src", "country", "nm", "ad", raw("business_name").alias("raw_name"), raw("business_address").alias("raw_addr"),
         F.coalesce(F.col("business_name"), F.lit("")).rlike(r"[^\x00-\x7F]").cast("int").alias("translit"),
-        T.numbers(F.col("ad")).alias("nums"), T.first_number(F.col("ad")).alias("num1"), F.array_distinct(T.words(F.col("nm"))).alias("full"),
+        T.numbers(F.col("ad")).alias("nums"), T.first_number(F.col("ad")).alias("num1"), F.array_distinct(T.words(F.col("spelt"))).alias("full"),
     )
 
 
@@ -70,7 +76,7 @@ def decoys(p: DataFrame, dec: DataFrame) -> DataFrame:
 def number_distance(p: DataFrame) -> DataFrame:
     """Least distance of any number of the query to the entry's house number."""
     far = F.array_min(F.transform("nums_q", lambda n: F.abs(n.try_cast("bigint") - F.col("num1_s").try_cast("bigint"))))
-    p = p.withColumn("s_num_mindiff", F.least(far, F.lit(CLIP)))
+    p = p.withColumn("s_num_mindiff", clip(far))
     return p.withColumn("s_num_in_q", (F.col("s_num_mindiff") == 0).cast("int"))
 
 
@@ -95,9 +101,9 @@ def ambiguity(p: DataFrame, meta: DataFrame) -> DataFrame:
     return p.withColumn("q_name_ties", F.sum("name_eq").over(Window.partitionBy("q")))
 
 
-def fuzzy(p: DataFrame, kernels: bool = True) -> DataFrame:
-    """The ten string similarities; without kernels all are Levenshtein's, which stay on the JVM."""
-    use = similarity if kernels else lambda _, a, b: levenshtein_similarity(a, b)
+def fuzzy(p: DataFrame) -> DataFrame:
+    """The ten string similarities."""
+    use = similarity
     flat = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     name, addr, raw_n, raw_a = [(F.col(f"{c}_q"), F.col(f"{c}_s")) for c in ("nm", "ad", "raw_name", "raw_addr")]
     cols = {
@@ -113,7 +119,7 @@ def number_sets(p: DataFrame) -> DataFrame:
     first = lambda c: F.get(c, F.lit(0))
     p = p.withColumns({"num_inter": both, "num_union": any_, "num_first_eq": (first("nums_q") == first("nums_s")).cast("int")})
     return p.withColumns({
-        "num_first_diff": F.least(F.abs(first("nums_q").try_cast("bigint") - first("nums_s").try_cast("bigint")), F.lit(CLIP)),
+        "num_first_diff": clip(F.abs(first("nums_q").try_cast("bigint") - first("nums_s").try_cast("bigint"))),
         "num_jac": F.round(F.try_divide("num_inter", "num_union"), 6),
         "num_q_in_s": (F.col("num_inter") == F.size("nums_q")).cast("int"),
         "n_extra_q": F.size(F.array_except(T.words(F.col("nm_q")), T.words(F.col("nm_s")))),
@@ -134,11 +140,11 @@ def label(p: DataFrame, truth: DataFrame) -> DataFrame:
     return p.join(truth.withColumn("label", F.lit(1)), ["q", "s1"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def build(c: DataFrame, meta: DataFrame, dec: DataFrame, kernels: bool = True, truth: DataFrame | None = None) -> DataFrame:
+def build(c: DataFrame, meta: DataFrame, dec: DataFrame, truth: DataFrame | None = None) -> DataFrame:
     """q, s1, the 61 features in their order, and the label where there is a truth."""
     p = pair_up(context(c), meta)
     p = number_sets(unique_words(number_distance(same_number(token_extras(p)))))
-    p = ties(fuzzy(ambiguity(decoys(p, dec), meta), kernels))
+    p = ties(fuzzy(ambiguity(decoys(p, dec), meta)))
     return (label(p, truth).select("q", "s1", *ALL, "label")) if truth is not None else p.select("q", "s1", *ALL)
 
 
@@ -146,6 +152,7 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+# The names of the forward columns.
 BASELINE = [
     "name_lev_sim", "name_jw_sim", "name_fuzz_ratio", "name_token_sort", "name_token_set", "name_partial_ratio", "core_name_ratio", "core_name_token_sort", "compact_name_ratio",
     "consonant_skeleton_match", "consonant_skeleton_ratio", "name_token_jaccard", "name_token_overlap_count", "name_length_diff", "name_token_count_diff", "name_prefix_4_match",
@@ -156,14 +163,14 @@ BASELINE = [
 ]
 
 
-def baseline(pairs: DataFrame, keys: DataFrame, records: DataFrame, kernels: bool = True) -> DataFrame:
-    """s1, q and the 38 features; keys from block.forward_keys.  Without kernels their places hold Levenshtein's similarity."""
+def baseline(pairs: DataFrame, keys: DataFrame, records: DataFrame) -> DataFrame:
+    """s1, q and the 38 features; keys from block.forward_keys."""
     addr = records.select("entity_id", T.addr_tokens(F.col("business_address")).alias("addr"))
     k = keys.join(addr, "entity_id").withColumns({"aw": T.words(F.col("addr")), "pin": F.regexp_extract_all("addr", F.lit(r"\b([0-9]{5,6})\b"), 1)})
     cols = ["clean", "compact", "core", "skeleton", "all_tokens", "nums", "addr", "aw", "pin"]
     p = pairs.join(k.select(F.col("entity_id").alias("s1"), *[F.col(c).alias(f"{c}_s") for c in cols]), "s1")
     p = p.join(k.select(F.col("entity_id").alias("q"), F.col("src").alias("q_src"), *[F.col(c).alias(f"{c}_q") for c in cols]), "q")
-    use = similarity if kernels else lambda _, a, b: levenshtein_similarity(a, b)
+    use = similarity
     both = lambda c: (F.col(f"{c}_s"), F.col(f"{c}_q"))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     first = [F.get(c, F.lit(0)) for c in both("all_tokens")]

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmatch.config import Thresholds
-from kinmatch.functions.text import words
+from kinmatch.functions.text import STOP, words
+
+#: The tokens of a record and the kind of lexicon that they go by.
+KINDS = {"nm": "name", "ad": "addr"}
 
 
 def pair_tokens(truth: DataFrame, norm: DataFrame, column: str) -> DataFrame:
@@ -32,10 +35,10 @@ def spelling_map(pairs: DataFrame, t: Thresholds) -> DataFrame:
     return top.join(total, "bad").filter(ok).join(legit, "bad", "left_anti").select("bad", "good", "n", "nt")
 
 
-def filler_words(norm: DataFrame, column: str, lift: float, share: float) -> DataFrame:
-    """(country, tok) that observations use far more often than the catalogue."""
-    totals = norm.groupBy("country").agg(F.count_if(F.expr("src = 1")).alias("n1"), F.count_if(F.expr("src > 1")).alias("n23"))
-    tok = norm.select("country", "src", F.explode(F.array_distinct(words(F.col(column)))).alias("tok"))
+def filler_words(tokens: DataFrame, records: DataFrame, kind: str, lift: float, share: float) -> DataFrame:
+    """(country, tok, s1, s23) that observations use far more often than the catalogue; tokens from respelt()."""
+    totals = records.groupBy("country").agg(F.count_if(F.expr("src = 1")).alias("n1"), F.count_if(F.expr("src > 1")).alias("n23"))
+    tok = tokens.filter(F.col("kind") == kind).select("entity_id", "country", "src", "tok").distinct()
     uses = tok.groupBy("country", "tok").agg(F.count_if(F.expr("src = 1")).alias("s1"), F.count_if(F.expr("src > 1")).alias("s23"))
     rate = F.col("s23") * F.col("n1") >= lift * (F.col("s1") + 1) * F.col("n23")
     return uses.join(totals, "country").filter(rate & (F.col("s23") >= share * F.col("n23")) & ~F.col("tok").rlike("^[0-9]+$")).select("country", "tok", "s1", "s23")
@@ -56,3 +59,33 @@ def marker_words(pairs: DataFrame, t: Thresholds) -> DataFrame:
     """(country, tok, n, share): extra words that mostly go with false pairs.  pairs: country, extra, false."""
     x = pairs.select("country", F.explode(F.array_distinct("extra")).alias("tok"), F.col("false").cast("int").alias("false"))
     return x.groupBy("country", "tok").agg(F.count("*").alias("n"), F.avg("false").alias("share")).filter((F.col("n") >= t.marker_support) & (F.col("share") >= t.marker_share))
+
+
+def respelt(norm: DataFrame, spellings: DataFrame) -> DataFrame:
+    """entity_id, country, src, kind, pos, tok: all tokens through the spelling map (kind, bad, good).
+
+    The map holds only what passed a support threshold; Spark broadcasts it if it's small enough.
+    """
+    lists = F.array(*[F.struct(F.lit(k).alias("kind"), words(F.col(c)).alias("w")) for c, k in KINDS.items()])
+    tok = norm.select("entity_id", "country", "src", F.explode(lists).alias("x")).select("entity_id", "country", "src", "x.kind", F.posexplode("x.w").alias("pos", "tok"))
+    known = spellings.select("kind", F.col("bad").alias("tok"), "good")
+    return tok.join(known, ["kind", "tok"], "left").select("entity_id", "country", "src", "kind", "pos", F.coalesce("good", "tok").alias("tok"))
+
+
+def finished(norm: DataFrame, spellings: DataFrame, fillers: DataFrame) -> DataFrame:
+    """norm with nm and ad finished, and spelt: the name's tokens through the map only.
+
+    Tokens go through the map, then names lose stop words, and both lose the fillers (kind, country, tok) of their country.
+    Where nothing is left: without stop words only; then all.  Lexicons are joined token by token: none travels with a row.
+    """
+    tok = respelt(norm, spellings).join(fillers.select("kind", "country", "tok", F.lit(True).alias("filler")), ["kind", "country", "tok"], "left")
+    stop = (F.col("kind") == "name") & F.col("tok").isin(STOP)
+    each = F.struct("pos", "tok", stop.alias("stop"), F.coalesce("filler", F.lit(False)).alias("filler"))
+    of = tok.groupBy("entity_id", "kind").agg(F.array_sort(F.collect_list(each)).alias("t"))
+    plain, best = F.filter("t", lambda x: ~x["stop"]), F.filter("t", lambda x: ~x["stop"] & ~x["filler"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: x["tok"]), " ")
+    pick = F.when(F.size(best) > 0, text(best)).when(F.size(plain) > 0, text(plain)).otherwise(text("t"))
+    of = of.select("entity_id", "kind", pick.alias("out"), text("t").alias("all"))
+    per = of.groupBy("entity_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("out"))).alias(c) for c, k in KINDS.items()], F.max(F.when(F.col("kind") == "name", F.col("all"))).alias("spelt"))
+    blank = {c: F.coalesce(c, F.lit("")) for c in ("nm", "ad", "spelt")}
+    return norm.drop("nm", "ad").join(per, "entity_id", "left").withColumns(blank)

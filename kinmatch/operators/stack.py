@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinmatch.functions.similarity import levenshtein_similarity, similarity
+from kinmatch.functions.similarity import similarity
 
 
 def query_context(pairs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def sibling_likeness(pairs: DataFrame, meta: DataFrame, kernel: str = "ratio") -
     """How like the sibling the observation is, in name, address and house number."""
     m = lambda q, end: meta.select(F.col("entity_id").alias(q), F.col("nm").alias(f"nm_{end}"), F.col("ad").alias(f"ad_{end}"), F.col("num1").alias(f"num_{end}"))
     p = siblings(pairs).join(m("q", "q"), "q").join(m("sib", "b"), "sib", "left")
-    use = levenshtein_similarity if kernel == "levenshtein" else lambda a, b: similarity(kernel, a, b)
+    use = lambda a, b: similarity(kernel, a, b)
     sure = lambda c: F.when(F.col("sib").isNotNull(), F.round(c, 6))
     return p.select("q", "s1", "p", "sib", "sib_p", sure(use(F.col("nm_q"), F.col("nm_b"))).alias("sib_n_ratio"), sure(use(F.col("ad_q"), F.col("ad_b"))).alias("sib_a_ratio"), (F.col("num_q") == F.col("num_b")).cast("int").cast("double").alias("sib_num_eq"))
 

@@ -1,19 +1,13 @@
-"""From records to a result row for every catalogue entry, without a model: keys, likeness of address, assignment."""
+"""From records to a result row for every catalogue entry, by the whole flow with a model."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kinmatch.config import Thresholds
-from kinmatch.operators import block, decide
-from kinmatch.sources import fixture, io
+from kinmatch.plans import flow
+from kinmatch.plans.queries import View
 
 
-def link(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+def link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source1_entity_id, matched_entity_ids."""
-    norm = fixture.normalised(spark, sf_dir)
-    met = block.key_pairs(block.exact_keys(norm), Thresholds())
-    best = met.groupBy("q", "s1").agg(F.max("sim").alias("p"))
-    entries = norm.filter("src = 1").select(F.col("entity_id").alias("s1"))
-    return io.lists(entries, decide.assign(best, threshold), "matched_entity_ids")
+    return flow.run(View(spark, sf_dir)).results

@@ -9,7 +9,9 @@ import re
 
 from kinmatch import config as C
 from kinmatch.config import SMALL as S
+from kinmatch.operators.features import ALL
 from kinmatch.plans.queries import GRID, THRESHOLD
+from kinmatch.sources.fixture import FOREIGN
 
 _nulls = ", ".join(f"'{x}'" for x in C.NULL_LITERALS)
 _stop = ", ".join(f"'{x}'" for x in sorted({re.sub(r"([a-z])\1+", r"\1", w) for w in C.NAME_STOP}))
@@ -17,9 +19,13 @@ _generic = ", ".join(f"'{x}'" for x in C.GENERIC_WORDS)
 _grid = ", ".join(f"({t}::DOUBLE)" for t in GRID)
 
 
+#: What the foreign words of the view are in ASCII.
+SPOKEN = {"москва": "moskva", "दिल्ली": "dillii"}
+
+
 def _latin(x: str) -> str:
     x = f"translate(lower({x}), '{C.LATIN_FROM}', '{C.LATIN_TO}')"
-    for a, b in C.LATIN_DOUBLE.items():
+    for a, b in (C.LATIN_DOUBLE | SPOKEN).items():
         x = f"replace({x}, '{a}', '{b}')"
     return x
 
@@ -57,31 +63,94 @@ def _lev(a: str, b: str) -> str:
     return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
 
 
+def _lcs(x: str, y: str, tag: str) -> str:
+    """Length of the longest common subsequence: bits of x's places in a hugeint (120 characters at most), one step for each character of y."""
+    c, r, h, i = f"c{tag}", f"r{tag}", f"h{tag}", f"i{tag}"
+    full = f"((1::HUGEINT << length({x})) - 1)"
+    mask = f"coalesce(list_sum(list_transform(list_filter(range(0, length({x})), lambda {i}: substr({x}, {i}::INT + 1, 1) = {c}), lambda {i}: 1::HUGEINT << {i}::INT)), 0)::HUGEINT"
+    step = f"(({r} + ({r} & {h})) | ({r} - ({r} & {h}))) & {full}"
+    return f"CASE WHEN length({x}) = 0 OR length({y}) = 0 THEN 0 ELSE length({x}) - bit_count(list_reduce(list_transform(string_split({y}, ''), lambda {c}: {mask}), lambda {r}, {h}: {step}, {full})) END"
+
+
+def _ratio(x: str, y: str, tag: str = "") -> str:
+    return f"CASE WHEN length({x}) + length({y}) = 0 THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * ({_lcs(x, y, tag)}) / (length({x}) + length({y})) END"
+
+
+def _tidy(x: str) -> str:
+    return f"array_to_string(list_sort({_words(x)}), ' ')"
+
+
+def _kernels(pairs: str) -> str:
+    """x, y and every similarity (0..1) of the distinct pairs (x, y) that a query gives."""
+    both, left, right = "array_to_string(bs, ' ')", "array_to_string(ls, ' ')", "array_to_string(rs, ' ')"
+    part = lambda a, b: f"list_max(list_transform(range(1 - length({a}), length({b})), lambda i: {_ratio(a, f'substr({b}, greatest(i, 0)::INT + 1, (length({a}) + least(i, 0))::INT)', 'p')}))"
+    return f"""SELECT x, y, ({_ratio('x', 'y')}) / 100 AS ratio, ({_ratio('tx', 'ty')}) / 100 AS token_sort, jaro_winkler_similarity(x, y) AS jaro_winkler, {_lev('x', 'y')} AS lev,
+      CASE WHEN len(wx) = 0 OR len(wy) = 0 THEN 0 WHEN len(bs) > 0 AND (len(ls) = 0 OR len(rs) = 0) THEN 1 WHEN len(bs) = 0 THEN ({_ratio('one', 'two')}) / 100
+        ELSE greatest({_ratio('one', 'two')}, {_ratio('bt', 'one')}, {_ratio('bt', 'two')}) / 100 END AS token_set,
+      CASE WHEN s = '' THEN (l = '')::INT WHEN contains(l, s) THEN 1 ELSE greatest({part('s', 'l')}, CASE WHEN length(s) = length(l) THEN {part('l', 's')} ELSE 0 END) / 100 END AS partial
+      FROM (SELECT *, {both} AS bt, trim({both} || ' ' || {left}) AS one, trim({both} || ' ' || {right}) AS two FROM (
+        SELECT *, list_sort(list_filter(wx, lambda w: list_contains(wy, w))) AS bs, list_sort(list_filter(wx, lambda w: NOT list_contains(wy, w))) AS ls, list_sort(list_filter(wy, lambda w: NOT list_contains(wx, w))) AS rs FROM (
+          SELECT x, y, {_tidy('x')} AS tx, {_tidy('y')} AS ty, list_distinct({_words('x')}) AS wx, list_distinct({_words('y')}) AS wy, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l
+          FROM (SELECT DISTINCT x, y FROM ({pairs})))))"""
+
+
 _abbr = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in C.ADDRESS_WORDS.items()) + "}"
 _alias = "(?i)^.*" + chr(92) + "b(?:" + "|".join(C.ALIAS_PHRASES) + ")" + chr(92) + "b[" + chr(92) + "s:." + chr(92) + "-]*"
 _minus = lambda a, b: f"list_filter(list_distinct({a}), lambda w: NOT list_contains({b}, w))"
 
+def _keys(source: str) -> str:
+    return rf"""SELECT entity_id, src, country, bit, key, other FROM (
+      SELECT entity_id, src, country, 1 AS bit, array_to_string(list_sort(string_split(nm, ' ')), ' ') AS key, ad AS other FROM {source}
+      UNION ALL SELECT entity_id, src, country, 2, nullif(regexp_extract(ad, '\b([0-9]+)\b', 1), '') || ' ' || nullif(regexp_extract(ad, '\b[0-9]+\b[^a-z]*?(?:\b[a-z]{{1,2}}\b\s+)*\b([a-z]{{3,}})', 1), ''), nm FROM {source}
+      UNION ALL SELECT entity_id, src, country, 4, array_to_string(list_sort(string_split({_gsub('nm', chr(92) + 'B[aeiou]', '')}, ' ')), ' '), ad FROM {source}
+      UNION ALL SELECT entity_id, src, country, 8, replace(nm, ' ', ''), ad FROM {source}
+      UNION ALL SELECT entity_id, src, country, 16, array_to_string(string_split(nm, ' ')[1:2], ' '), ad FROM {source}) WHERE key <> ''"""
+
+
+def _per(chosen: str) -> str:
+    return f"SELECT s1, tp, np, nt, CASE WHEN nt = 0 THEN (np = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END AS f FROM (SELECT ent.s1, coalesce(tp, 0)::DOUBLE AS tp, coalesce(np, 0)::DOUBLE AS np, coalesce(nt, 0)::DOUBLE AS nt FROM ent LEFT JOIN (SELECT s1, count(*) AS np, count(gt.q) AS tp FROM {chosen} LEFT JOIN gt USING (s1, q) GROUP BY s1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS nt FROM gt GROUP BY s1) USING (s1))"
+
+
+def _dice(seed: str, *parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {seed}, {', '.join(parts)})), 1, 8))::BIGINT % 1000000)"
+
+
+def _copies(rate: str, seed: str, key: str) -> str:
+    """How often a row is drawn at the rate: the quantile of a Poisson law."""
+    return f"len(list_filter(range(0, 12), lambda k: {_dice(seed, key)} >= 1000000 * list_sum(list_transform(range(0, k + 1), lambda j: exp(-({rate})) * pow({rate}, j) / factorial(j::INT)))))"
+
+
 #: name -> (what it needs, its body)
 TABLES: dict[str, tuple[str, str]] = {
     "d": ("", rf"SELECT doc_id, lang, n_chars, string_split(trim({_gsub('coalesce(text, $$$$)', chr(92) + 's+', ' ')}), ' ') AS w FROM documents"),
-    "rec": ("d", "SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, (doc_id % 3 + 1)::INT AS src, lang AS country, array_to_string(w[1:5], ' ') AS business_name, (n_chars % 1000) || ' ' || array_to_string(w[6:11], ' ') AS business_address FROM d"),
+    "rec": ("d", "SELECT 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, (doc_id % 3 + 1)::INT AS src, lang AS country, concat_ws(' ', CASE doc_id % 29 " + " ".join(f"WHEN {k} THEN '{w}'" for k, w in FOREIGN.items()) + " END, array_to_string(w[1:5], ' ')) AS business_name, CASE WHEN n_chars % 7 = 3 THEN '' ELSE (n_chars % 1000) || ' ' END || array_to_string(w[6:11], ' ') AS business_address FROM d"),
     "n1": ("rec", f"SELECT *, {_present('business_name')} AS n1, {_present('business_address')} AS a1 FROM rec"),
     "n2": ("n1", f"SELECT *, {_latin(f'CASE WHEN trim(regexp_replace(n1, $${_alias}$$, $$$$)) <> $$$$ THEN regexp_replace(n1, $${_alias}$$, $$$$) ELSE n1 END')} AS n2, {_latin('a1')} AS a2 FROM n1"),
     "n3": ("n2", "SELECT *, " + _gsub(_gsub("replace(" + _gsub(_gsub("n2", r"\bwww\.|\.(?:com|net|org|in|co|fr|us|biz|info)\b|@", " "), "[0-9]{6,}", " ") + ", '&', ' and ')", "[.''`]", ""), "[^a-z0-9]+", " ") + " AS n3, " + _phrases(_gsub(_gsub(_gsub("a2", r"\bn/a\b|\bndeg|\bn°", " "), "[^a-z0-9]+", " "), r"\b0+([0-9])", r"\1")) + " AS a3 FROM n2"),
-    "norm": ("n3", f"SELECT entity_id, src, country, business_name, business_address, {_single('trim(n3)')} AS nm, array_to_string(list_transform(list_filter({_words('trim(a3)')}, lambda w: w NOT IN ('none', 'na')), lambda w: coalesce(({_abbr})[w], w)), ' ') AS ad FROM n3"),
-    "gt": ("norm", "SELECT s1, q.entity_id AS q FROM (SELECT country, nm, min(entity_id) AS s1 FROM norm WHERE src = 1 AND nm <> '' GROUP BY ALL) JOIN norm q USING (country, nm) WHERE q.src > 1"),
-    "ent": ("norm", "SELECT entity_id AS s1, country FROM norm WHERE src = 1"),
+    "base": ("n3", f"SELECT entity_id, src, country, business_name, business_address, {_single('trim(n3)')} AS nm, array_to_string(list_transform(list_filter({_words('trim(a3)')}, lambda w: w NOT IN ('none', 'na')), lambda w: coalesce(({_abbr})[w], w)), ' ') AS ad FROM n3"),
+    "gt": ("base", "SELECT s1, q.entity_id AS q FROM (SELECT country, nm, min(entity_id) AS s1 FROM base WHERE src = 1 AND nm <> '' GROUP BY ALL) JOIN base q USING (country, nm) WHERE q.src > 1"),
+    "ent": ("base", "SELECT entity_id AS s1, country FROM base WHERE src = 1"),
     "wide": ("ent gt", "SELECT ent.s1 AS source1_entity_id, coalesce(m, '') AS matched_entity_ids FROM ent LEFT JOIN (SELECT s1, string_agg(q, ',' ORDER BY q) AS m FROM gt GROUP BY s1) g ON g.s1 = ent.s1"),
+    # spellings and fillers, finished records
+    "akey": ("base", f"SELECT *, array_to_string({_words('ad')}[2:3], ' ') AS k FROM base"),
+    "tpairs_nm": ("akey", f"SELECT s1, q.entity_id AS q, {_words('q.nm')} AS tq, {_words('s.nm')} AS ts FROM (SELECT country, k, min(entity_id) AS s1 FROM akey WHERE src = 1 AND ad <> '' GROUP BY ALL) JOIN akey q USING (country, k) JOIN base s ON s.entity_id = s1 WHERE q.src > 1"),
+    "tpairs_ad": ("gt base", f"SELECT s1, q, {_words('o.ad')} AS tq, {_words('s.ad')} AS ts FROM gt JOIN base s ON s.entity_id = s1 JOIN base o ON o.entity_id = q"),
+    **{f"diff_{c}": (f"tpairs_{c}", f"SELECT uq, us FROM (SELECT {_minus('tq', 'ts')} AS uq, {_minus('ts', 'tq')} AS us FROM tpairs_{c}) WHERE len(uq) BETWEEN 1 AND 3 AND len(us) BETWEEN 1 AND 3") for c in ("nm", "ad")},
+    **{f"spell_{c}": (f"diff_{c} tpairs_{c}", f"""SELECT bad, good, n, nt FROM (SELECT bad, good, n, row_number() OVER (PARTITION BY bad ORDER BY n DESC, good) AS r FROM (
+        SELECT bad, good, count(*) AS n FROM (SELECT bad, unnest(us) AS good FROM (SELECT unnest(uq) AS bad, us FROM diff_{c})) GROUP BY ALL)) JOIN (SELECT bad, count(*) AS nt FROM (SELECT unnest(uq) AS bad FROM diff_{c}) GROUP BY bad) USING (bad)
+      WHERE r = 1 AND n >= {S.map_support} AND n / nt >= {S.map_share} AND NOT regexp_matches(bad, '[0-9]') AND NOT (length(bad) >= 12 AND contains(bad, good)) AND length(good) > 1 AND good NOT IN ('the', 'and', 'of', 'dba')
+      AND bad NOT IN (SELECT bad FROM (SELECT bad, count(*) AS ns FROM (SELECT unnest(ts) AS bad FROM tpairs_{c}) GROUP BY bad) JOIN (SELECT bad, count(*) AS nq FROM (SELECT unnest(tq) AS bad FROM tpairs_{c}) GROUP BY bad) USING (bad) WHERE ns > {S.legit_ratio} * nq)""") for c in ("nm", "ad")},
+    "mapped": ("base spell_nm spell_ad", "SELECT base.*, " + ", ".join(f"list_transform({_words(c)}, lambda w: coalesce(k{c}[w], w)) AS w{c}" for c in ("nm", "ad")) + " FROM base, " + ", ".join(f"(SELECT map_from_entries(list({{'k': bad, 'v': good}})) AS k{c} FROM spell_{c})" for c in ("nm", "ad"))),
+    **{f"fill_{c}": ("mapped", f"SELECT country, tok, s1, s23 FROM (SELECT country, tok, count(*) FILTER (src = 1) AS s1, count(*) FILTER (src > 1) AS s23 FROM (SELECT country, src, unnest(list_distinct(w{c})) AS tok FROM mapped) GROUP BY ALL) JOIN (SELECT country, count(*) FILTER (src = 1) AS n1, count(*) FILTER (src > 1) AS n23 FROM base GROUP BY country) USING (country) WHERE s23 * n1 >= {lift} * (s1 + 1) * n23 AND s23 >= {S.noise_share} * n23 AND NOT regexp_matches(tok, '^[0-9]+$')") for c, lift in (("nm", S.noise_lift_name), ("ad", S.noise_lift_addr))},
+    "norm": ("mapped fill_nm fill_ad", "SELECT entity_id, src, country, business_name, business_address, array_to_string(wnm, ' ') AS spelt, " + ", ".join(f"array_to_string(CASE WHEN len(b{c}) > 0 THEN b{c} WHEN len(a{c}) > 0 THEN a{c} ELSE w{c} END, ' ') AS {c}" for c in ("nm", "ad")) + " FROM (SELECT *, " + ", ".join(f"list_filter(a{c}, lambda w: NOT list_contains(f{c}, w)) AS b{c}" for c in ("nm", "ad"))
+      + f" FROM (SELECT mapped.*, list_filter(wnm, lambda w: w NOT IN ({_stop})) AS anm, wad AS aad, coalesce(fnm, []) AS fnm, coalesce(fad, []) AS fad FROM mapped " + " ".join(f"LEFT JOIN (SELECT country, list(tok) AS f{c} FROM fill_{c} GROUP BY country) USING (country)" for c in ("nm", "ad")) + "))"),
     # exact keys
-    "keys": ("norm", rf"""SELECT entity_id, src, country, bit, key, other FROM (
-      SELECT entity_id, src, country, 1 AS bit, array_to_string(list_sort(string_split(nm, ' ')), ' ') AS key, ad AS other FROM norm
-      UNION ALL SELECT entity_id, src, country, 2, nullif(regexp_extract(ad, '\b([0-9]+)\b', 1), '') || ' ' || nullif(regexp_extract(ad, '\b[0-9]+\b[^a-z]*?(?:\b[a-z]{{1,2}}\b\s+)*\b([a-z]{{3,}})', 1), ''), nm FROM norm
-      UNION ALL SELECT entity_id, src, country, 4, array_to_string(list_sort(string_split({_gsub('nm', chr(92) + 'B[aeiou]', '')}, ' ')), ' '), ad FROM norm
-      UNION ALL SELECT entity_id, src, country, 8, replace(nm, ' ', ''), ad FROM norm
-      UNION ALL SELECT entity_id, src, country, 16, array_to_string(string_split(nm, ' ')[1:2], ' '), ad FROM norm) WHERE key <> ''"""),
-    "keyed": ("keys", f"""SELECT q, s1, bit, sim FROM (SELECT *, row_number() OVER (PARTITION BY q, bit ORDER BY sim DESC, s1) AS r FROM (
-      SELECT a.entity_id AS q, b.entity_id AS s1, bit, round({_lev('a.other', 'b.other')}, 6) AS sim FROM keys a JOIN
-      (SELECT *, count(*) OVER (PARTITION BY country, bit, key) AS n FROM keys WHERE src = 1) b USING (country, bit, key) WHERE a.src > 1 AND n <= {S.hub})) WHERE r <= {S.key_top}"""),
+    "keys": ("norm", _keys("norm")),
+    "keys0": ("base", _keys("base")),
+    "kkeys": ("keys", f"SELECT x, y, ({_ratio('x', 'y')}) / 100 AS ratio FROM (SELECT DISTINCT a.other AS x, b.other AS y FROM keys a JOIN keys b USING (country, bit, key) WHERE a.src > 1 AND b.src = 1)"),
+    "keyed": ("keys kkeys", f"""SELECT q, s1, bit, sim FROM (SELECT *, row_number() OVER (PARTITION BY q, bit ORDER BY sim DESC, s1) AS r FROM (
+      SELECT a.entity_id AS q, b.entity_id AS s1, bit, round(ratio, 6) AS sim FROM keys a JOIN
+      (SELECT *, count(*) OVER (PARTITION BY country, bit, key) AS n FROM keys WHERE src = 1) b USING (country, bit, key) JOIN kkeys ON x = a.other AND y = b.other WHERE a.src > 1 AND n <= {S.hub})) WHERE r <= {S.key_top}"""),
     "via": ("keyed", "SELECT q, s1, sum(bit)::INT AS via_key FROM keyed GROUP BY q, s1"),
     # TF-IDF
     "padded": ("norm", f"SELECT entity_id, src, country, nm, ' ' || replace(nm, ' ', '') || ' ' AS pad, {_words('ad')} AS w FROM norm"),
@@ -100,23 +169,17 @@ TABLES: dict[str, tuple[str, str]] = {
     # pairs with metadata
     "meta": ("norm", rf"""SELECT entity_id, src, country, nm, ad, lower(coalesce(business_name, '')) AS raw_name, lower(coalesce(business_address, '')) AS raw_addr, regexp_matches(coalesce(business_name, ''), '[^\x00-\x7F]')::INT AS translit,
       (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT regexp_extract_all(ad, '[0-9]+') AS l)) GROUP BY x)) AS nums,
-      nullif(regexp_extract(ad, '\b([0-9]+)\b', 1), '') AS num1, {_words('nm')} AS nw, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest({_words('nm')}) AS x, unnest(range(len({_words('nm')}))) AS i) GROUP BY x)) AS fullw FROM norm"""),
+      nullif(regexp_extract(ad, '\b([0-9]+)\b', 1), '') AS num1, {_words('nm')} AS nw, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest({_words('spelt')}) AS x, unnest(range(len({_words('spelt')}))) AS i) GROUP BY x)) AS fullw FROM norm"""),
     "p": ("cand meta", "SELECT c.*, q.country, q.src, q.translit, q.nm AS nm_q, s.nm AS nm_s, q.ad AS ad_q, s.ad AS ad_s, q.raw_name AS rn_q, s.raw_name AS rn_s, q.raw_addr AS ra_q, s.raw_addr AS ra_s, coalesce(q.nums, []) AS nums_q, coalesce(s.nums, []) AS nums_s, q.num1 AS num1_q, s.num1 AS num1_s, coalesce(q.fullw, []) AS full_q, coalesce(s.fullw, []) AS full_s, q.nw AS nw_q, s.nw AS nw_s FROM cand c JOIN meta q ON c.q = q.entity_id JOIN meta s ON c.s1 = s.entity_id"),
     "p0": ("cfull meta", f"SELECT c.q, c.s1, q.country, {_minus('coalesce(q.fullw, [])', 'coalesce(s.fullw, [])')} AS extra, (q.num1 <> s.num1)::INT AS mm FROM cfull c JOIN meta q ON c.q = q.entity_id JOIN meta s ON c.s1 = s.entity_id WHERE rank = 0"),
     "dec": ("p0", f"SELECT country, tok, (mm + {S.decoy_prior}::DOUBLE * prior) / (n + {S.decoy_prior}) AS dec FROM (SELECT country, tok, count(*) AS n, sum(mm) AS mm FROM (SELECT country, mm, unnest(extra) AS tok FROM p0 WHERE mm IS NOT NULL) GROUP BY ALL) JOIN (SELECT country, avg(mm) AS prior FROM (SELECT country, mm, unnest(extra) AS tok FROM p0 WHERE mm IS NOT NULL) GROUP BY country) USING (country) WHERE n >= {S.decoy_support}"),
     "marks": ("p0 gt", f"SELECT country, tok, count(*) AS n, avg(f) AS share FROM (SELECT country, unnest(extra) AS tok, (gt.q IS NULL)::INT AS f FROM p0 LEFT JOIN gt ON gt.q = p0.q AND gt.s1 = p0.s1) GROUP BY ALL HAVING count(*) >= {S.marker_support} AND avg(f) >= {S.marker_share}"),
-    "fuzz": ("p", "SELECT *, " + ", ".join(f"round({_lev(a, b)}, 6) AS {n}" for n, a, b in [
-        *((n, "nm_q", "nm_s") for n in ("n_ratio", "n_tset", "n_tsort", "n_partial")), ("n_jw", "replace(nm_q, ' ', '')", "replace(nm_s, ' ', '')"),
-        *((n, "ad_q", "ad_s") for n in ("a_ratio", "a_tset", "a_partial")), ("raw_n", _latin("rn_q"), _latin("rn_s")), ("raw_a", _latin("ra_q"), _latin("ra_s"))]) + " FROM p"),
-    # spellings and fillers
-    "akey": ("norm", f"SELECT *, array_to_string({_words('ad')}[2:3], ' ') AS k FROM norm"),
-    "tpairs": ("akey", f"SELECT s1, q.entity_id AS q, {_words('q.nm')} AS tq, {_words('s.nm')} AS ts FROM (SELECT country, k, min(entity_id) AS s1 FROM akey WHERE src = 1 AND ad <> '' GROUP BY ALL) JOIN akey q USING (country, k) JOIN norm s ON s.entity_id = s1 WHERE q.src > 1"),
-    "spell": ("tpairs", f"""SELECT bad, good, n, nt FROM (SELECT bad, good, n, row_number() OVER (PARTITION BY bad ORDER BY n DESC, good) AS r FROM (
-        SELECT bad, good, count(*) AS n FROM (SELECT bad, unnest(us) AS good FROM (SELECT unnest(uq) AS bad, us FROM diff)) GROUP BY ALL)) JOIN (SELECT bad, count(*) AS nt FROM (SELECT unnest(uq) AS bad FROM diff) GROUP BY bad) USING (bad)
-      WHERE r = 1 AND n >= {S.map_support} AND n / nt >= {S.map_share} AND NOT regexp_matches(bad, '[0-9]') AND NOT (length(bad) >= 12 AND contains(bad, good)) AND length(good) > 1 AND good NOT IN ('the', 'and', 'of', 'dba')
-      AND bad NOT IN (SELECT bad FROM (SELECT bad, count(*) AS ns FROM (SELECT unnest(ts) AS bad FROM tpairs) GROUP BY bad) JOIN (SELECT bad, count(*) AS nq FROM (SELECT unnest(tq) AS bad FROM tpairs) GROUP BY bad) USING (bad) WHERE ns > {S.legit_ratio} * nq)"""),
-    "diff": ("tpairs", f"SELECT uq, us FROM (SELECT {_minus('tq', 'ts')} AS uq, {_minus('ts', 'tq')} AS us FROM tpairs) WHERE len(uq) BETWEEN 1 AND 3 AND len(us) BETWEEN 1 AND 3"),
-    **{f"fill_{c}": ("norm", f"SELECT country, tok, s1, s23 FROM (SELECT country, tok, count(*) FILTER (src = 1) AS s1, count(*) FILTER (src > 1) AS s23 FROM (SELECT country, src, unnest(list_distinct({_words(c)})) AS tok FROM norm) GROUP BY ALL) JOIN (SELECT country, count(*) FILTER (src = 1) AS n1, count(*) FILTER (src > 1) AS n23 FROM norm GROUP BY country) USING (country) WHERE s23 * n1 >= {lift} * (s1 + 1) * n23 AND s23 >= {S.noise_share} * n23 AND NOT regexp_matches(tok, '^[0-9]+$')") for c, lift in (("nm", S.noise_lift_name), ("ad", S.noise_lift_addr))},
+    "kname": ("p", _kernels("SELECT nm_q AS x, nm_s AS y FROM p")),
+    "kaddr": ("p", _kernels("SELECT ad_q AS x, ad_s AS y FROM p")),
+    "kraw": ("p", f"SELECT x, y, ({_ratio('x', 'y')}) / 100 AS ratio FROM (SELECT DISTINCT rn_q AS x, rn_s AS y FROM p UNION SELECT DISTINCT ra_q, ra_s FROM p)"),
+    "fuzz": ("p kname kaddr kraw", """SELECT p.*, round(n.ratio, 6) AS n_ratio, round(n.token_set, 6) AS n_tset, round(n.token_sort, 6) AS n_tsort, round(n.partial, 6) AS n_partial, round(jaro_winkler_similarity(replace(nm_q, ' ', ''), replace(nm_s, ' ', '')), 6) AS n_jw,
+      round(a.ratio, 6) AS a_ratio, round(a.token_set, 6) AS a_tset, round(a.partial, 6) AS a_partial, round(rn.ratio, 6) AS raw_n, round(ra.ratio, 6) AS raw_a
+      FROM p JOIN kname n ON n.x = nm_q AND n.y = nm_s JOIN kaddr a ON a.x = ad_q AND a.y = ad_s JOIN kraw rn ON rn.x = rn_q AND rn.y = rn_s JOIN kraw ra ON ra.x = ra_q AND ra.y = ra_s"""),
     # forward keys
     "f1": ("rec", "SELECT entity_id, src, country, trim(" + _gsub(_gsub(_gsub(_gsub(_latin("business_name"), r"\b([a-z0-9])\.([a-z0-9])\.?(?:\b|$)", r"\1\2"), r"[-_/\\,:;*#~^|!?.''`\x22\[\]<>]+", " "), "[&+]", " and "), r"\s+", " ") + f") AS clean, {_latin('business_address')} AS a FROM rec"),
     "f2": ("f1", f"SELECT *, {_words('clean')} AS toks, list_filter(range(1, len({_words('clean')}) + 1), lambda i: {_words('clean')}[i] NOT IN ({_generic})) AS own, regexp_extract_all(a, '\\b([0-9]+)\\b', 1) AS rawnums FROM f1"),
@@ -139,13 +202,26 @@ TABLES: dict[str, tuple[str, str]] = {
       UNION ALL SELECT entity_id, src, country, 2, 'dual_token', CASE WHEN len(tokens) >= 2 THEN array_to_string(list_sort(tokens[1:2]), ' ') END FROM fwd
       UNION ALL SELECT entity_id, src, country, 2, 'rare_token', key FROM (SELECT entity_id, src, country, unnest(tokens) AS key FROM fwd) WHERE key IN (SELECT key FROM (SELECT unnest(tokens) AS key FROM fwd WHERE src = 1) GROUP BY key HAVING count(*) <= 2)) WHERE key IS NOT NULL"""),
     "tmet": ("tiers", "SELECT tier, channel, key, country, s.entity_id AS s1, q.entity_id AS q, q.src AS q_src FROM tiers s JOIN tiers q USING (country, tier, channel, key) WHERE s.src = 1 AND q.src > 1"),
+    "fk": ("fwd base", rf"SELECT f.*, {_skeleton('core')} AS skel, b.ad AS addr, {_words('b.ad')} AS aw, regexp_extract_all(b.ad, '\b([0-9]{{5,6}})\b', 1) AS pin FROM fwd f JOIN base b USING (entity_id)"),
+    "bp": ("cpairs fk", "SELECT p.s1, p.q, q.src AS q_src, " + ", ".join(f"{e}.{c} AS {c}_{e}" for c in ("clean", "compact", "core", "skel", "toks", "nums", "addr", "aw", "pin") for e in "sq") + " FROM (SELECT DISTINCT s1, q FROM cpairs) p JOIN fk s ON s.entity_id = p.s1 JOIN fk q ON q.entity_id = p.q"),
+    **{f"k_{c}": ("bp", _kernels(f"SELECT {c}_s AS x, {c}_q AS y FROM bp")) for c in ("clean", "core", "addr")},
+    **{f"k_{c}": ("bp", f"SELECT x, y, ({_ratio('x', 'y')}) / 100 AS ratio FROM (SELECT DISTINCT {c}_s AS x, {c}_q AS y FROM bp)") for c in ("compact", "skel")},
+    # synthetic decoys
+    "obs": ("rec gt", "SELECT entity_id AS q, src, country, business_name AS name, business_address AS addr, entity_id IN (SELECT q FROM gt) AS linked FROM rec WHERE src > 1"),
+    "quota": ("ent obs", "SELECT floor(1.2 * (SELECT count(*) FROM ent))::BIGINT AS n, greatest(1, count(*) FILTER (linked)) AS m, greatest(1, count(*) FILTER (NOT linked)) AS l FROM obs"),
+    "drawn": ("obs quota", f"""SELECT q, src, country, name, addr, linked, unnest(range(0, copies))::INT AS copy FROM (SELECT obs.*, {_copies("CASE WHEN linked THEN (n - n // 2)::DOUBLE / m ELSE (n // 2)::DOUBLE / l END", "'decoy' || CASE WHEN linked THEN 'm' ELSE 'l' END", "q")} AS copies FROM obs, quota)"""),
+    "rolled": ("drawn marks", "SELECT drawn.*, words, " + ", ".join(f"{_dice(f"'decoy{t}'", 'q', 'copy')} AS r_{t}" for t in ("shift", "by", "word", "mark", "at")) + " FROM drawn LEFT JOIN (SELECT country, list_sort(list_distinct(list(tok))) AS words FROM marks GROUP BY country) USING (country)"),
+    "moved": ("rolled", "SELECT *, CASE WHEN (linked AND r_shift >= 800000) OR TRY_CAST(regexp_extract(addr, '([0-9]+)', 1) AS BIGINT) IS NULL THEN addr ELSE regexp_replace(addr, '[0-9]+', greatest(1, TRY_CAST(regexp_extract(addr, '([0-9]+)', 1) AS BIGINT) + CASE WHEN (r_by & 32) > 0 THEN r_by % 30 + 1 ELSE -(r_by % 30 + 1) END)::VARCHAR) END AS to_addr FROM rolled"),
+    "marked": ("moved", "SELECT *, CASE WHEN linked AND coalesce(len(words), 0) > 0 AND (r_mark < 600000 OR to_addr = addr) THEN array_to_string(list_concat(list_concat(w[1:spot], [upper(word[1]) || word[2:]]), w[spot + 1:]), ' ') ELSE name END AS to_name FROM (SELECT *, string_split(name, ' ') AS w, words[(r_word % greatest(len(words), 1))::INT + 1] AS word, (CASE WHEN len(string_split(name, ' ')) > 1 THEN r_at % (len(string_split(name, ' ')) - 1) ELSE 0 END + 1)::INT AS spot FROM moved)"),
     # decisions
     "sc": ("cand", "SELECT q, s1, score AS p FROM cand"),
     "best": ("sc", "SELECT q, s1, p FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p DESC, s1) AS r FROM sc) WHERE r = 1"),
     "asg": ("best", f"SELECT * FROM best WHERE p >= {THRESHOLD}"),
     "ef0": ("best", "SELECT *, round(1.25 * sum(p) OVER (PARTITION BY s1 ORDER BY p DESC, q ROWS UNBOUNDED PRECEDING) / (0.25 * sum(p) OVER (PARTITION BY s1) + row_number() OVER (PARTITION BY s1 ORDER BY p DESC, q)), 9) AS ef, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, q) AS k, product(1 - p) OVER (PARTITION BY s1) AS none FROM best"),
     "ef": ("ef0", "SELECT q, s1, p FROM ef0 JOIN (SELECT s1, max(ef) AS top, arg_min(k, (-ef, k)) AS bk FROM ef0 GROUP BY s1) USING (s1) WHERE k <= bk AND top > none"),
-    "per": ("asg gt ent", "SELECT s1, tp, np, nt, CASE WHEN nt = 0 THEN (np = 0)::INT::DOUBLE WHEN tp = 0 THEN 0 ELSE 1.25 * (tp / np) * (tp / nt) / (0.25 * (tp / np) + tp / nt) END AS f FROM (SELECT ent.s1, coalesce(tp, 0)::DOUBLE AS tp, coalesce(np, 0)::DOUBLE AS np, coalesce(nt, 0)::DOUBLE AS nt FROM ent LEFT JOIN (SELECT s1, count(*) AS np, count(gt.q) AS tp FROM asg LEFT JOIN gt USING (s1, q) GROUP BY s1) USING (s1) LEFT JOIN (SELECT s1, count(*) AS nt FROM gt GROUP BY s1) USING (s1))"),
+    "asg6": ("best", "SELECT * FROM best WHERE p >= 0.6"),
+    "per": ("asg gt ent", _per("asg")),
+    "per6": ("asg6 gt ent", _per("asg6")),
 }
 
 
@@ -175,7 +251,14 @@ TABLES |= {
 }
 
 
-def sql(needs: str, body: str) -> str:
+class Twin(str):
+    """A statement that keeps its parts."""
+
+    needs: str
+    body: str
+
+
+def sql(needs: str, body: str) -> Twin:
     """body behind the tables that it needs, in their order."""
     wanted: list[str] = []
 
@@ -187,41 +270,41 @@ def sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         visit(name)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n][1]})" for n in wanted) + "\n" + body
+    out = Twin("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n][1]})" for n in wanted) + "\n" + body)
+    out.needs, out.body = needs, body
+    return out
 
 
 _n = "regexp_extract({}, '([0-9]+)$', 1)::BIGINT".format
 _ties = "SELECT q, s1, " + ", ".join(f"round(max({c}) OVER (PARTITION BY q) - {c}, 6) AS {c}_qgap" for c in ("raw_n", "raw_a", "n_ratio", "a_tset")) + " FROM fuzz"
-_bfuzz = lambda c: f"round({_lev(f's.{c}', f'q.{c}')}, 6)"
 _chosen_lists = lambda pairs, col: f"SELECT ent.s1 AS source1_entity_id, coalesce(m, '') AS {col} FROM ent LEFT JOIN (SELECT s1, string_agg(DISTINCT q, ',' ORDER BY q) AS m FROM {pairs} GROUP BY s1) g ON g.s1 = ent.s1"
 
 ORACLE: dict[str, str] = {
     "records_view": sql("rec", "SELECT * FROM rec"),
     "tsv_round_trip": sql("rec", "SELECT entity_id, business_name, business_address, country, src FROM rec"),
     "ground_truth_long": sql("gt", "SELECT s1, q FROM gt"),
-    "truth_pairs_assembly": sql("gt norm", "SELECT s1, q, s.nm AS nm_s, s.ad AS ad_s, o.nm AS nm_q, o.ad AS ad_q FROM gt JOIN norm s ON s.entity_id = s1 JOIN norm o ON o.entity_id = q"),
+    "truth_pairs_assembly": sql("gt base", "SELECT s1, q, s.nm AS nm_s, s.ad AS ad_s, o.nm AS nm_q, o.ad AS ad_q FROM gt JOIN base s ON s.entity_id = s1 JOIN base o ON o.entity_id = q"),
     "results_tsv_shape": sql("ent asg", _chosen_lists("asg", "matched_entity_ids")),
     "results_tsv_round_trip": sql("ent asg", _chosen_lists("asg", "matched_entity_ids").replace("coalesce(m, '')", "m")),
     "candidates_tsv_shape": sql("ent cand", _chosen_lists("cand", "candidate_entity_ids")),
-    "text_lines": sql("rec", "SELECT entity_id, entity_id || chr(9) || business_name AS line FROM rec"),
+    "text_lines": sql("rec", "SELECT entity_id || chr(9) || business_name AS line FROM rec"),
     "country_partitions": sql("norm", "SELECT entity_id, country, nm FROM norm WHERE country IN ('de', 'fr')"),
     "staged_norm": sql("norm", "SELECT entity_id, nm, ad FROM norm"),
     "json_artefacts": sql("fill_nm", "SELECT country, tok FROM fill_nm"),
     "frequent_words": sql("norm", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, tok) AS place FROM (SELECT country, tok, count(*) AS n FROM (SELECT country, unnest({_words('nm')}) AS tok FROM norm) GROUP BY ALL)) WHERE place <= 10"),
-    "name_tokens": sql("norm", "SELECT entity_id, nm FROM norm"),
-    "addr_tokens": sql("norm", "SELECT entity_id, ad FROM norm"),
+    "name_tokens": sql("base", "SELECT entity_id, nm FROM base"),
+    "addr_tokens": sql("base", "SELECT entity_id, ad FROM base"),
     "metadata_projection": sql("meta", "SELECT entity_id, raw_name, raw_addr, translit, coalesce(array_to_string(nums, ','), '') AS nums, num1 FROM meta"),
     "full_names": sql("meta", "SELECT entity_id, coalesce(array_to_string(fullw, ' '), '') AS full_name FROM meta"),
     "consonant_skeleton": sql("rec", f"SELECT entity_id, {_skeleton(_latin('business_name'))} AS skeleton FROM rec"),
     "transliterated": sql("rec", f"SELECT entity_id, {_latin('business_name')} AS name FROM rec"),
     "baseline_keys_fast": sql("fwd", f"SELECT entity_id, clean, compact, core, array_to_string(tokens, ' ') AS tokens, nums[1] AS num, array_to_string(addr_tokens, ' ') AS addr_tokens, {_skeleton('core')} AS skeleton FROM fwd"),
-    "learned_map": sql("diff spell", "SELECT * FROM spell"),
+    "learned_map": sql("spell_nm spell_ad", "SELECT *, 'name' AS kind FROM spell_nm UNION ALL SELECT *, 'addr' FROM spell_ad"),
     "filler_lexicon": sql("fill_nm", "SELECT * FROM fill_nm"),
     "filler_lexicon_addr": sql("fill_ad", "SELECT * FROM fill_ad"),
     "decoy_lexicon": sql("dec", "SELECT country, tok, round(dec, 6) AS dec FROM dec"),
     "marker_words": sql("marks", "SELECT country, tok, n, round(share, 6) AS share FROM marks"),
-    "finish_tokens": sql("norm diff spell fill_nm", f"""SELECT entity_id, array_to_string(CASE WHEN len(b) > 0 THEN b WHEN len(a) > 0 THEN a ELSE m END, ' ') AS finished FROM (SELECT *, list_filter(a, lambda w: NOT list_contains(noise, w)) AS b FROM (SELECT *, list_filter(m, lambda w: w NOT IN ({_stop})) AS a FROM (
-      SELECT entity_id, coalesce(noise, []) AS noise, list_transform({_words('nm')}, lambda w: coalesce(known[w], w)) AS m FROM norm LEFT JOIN (SELECT country, list(tok) AS noise FROM fill_nm GROUP BY country) USING (country), (SELECT map_from_entries(list({{'k': bad, 'v': good}})) AS known FROM spell))))"""),
+    "finish_tokens": sql("norm", "SELECT entity_id, nm, ad, spelt FROM norm"),
     "exact_keys": sql("keys", "SELECT entity_id, bit, key FROM keys"),
     "hub_guard": sql("keys", "SELECT entity_id, bit, key FROM (SELECT *, count(*) OVER (PARTITION BY country, bit, key) AS n FROM keys WHERE src = 1) WHERE n <= 2"),
     "key_pairs_top2": sql("keyed", "SELECT * FROM keyed"),
@@ -298,8 +381,47 @@ ORACLE: dict[str, str] = {
     "seeded_sample": sql("rec", f"SELECT entity_id FROM rec ORDER BY {_n('entity_id')} * 7919 % 10007, entity_id LIMIT 100"),
     "stack_q_context": sql("sc", "SELECT q, s1, p, q_pmax, q_n, q_nhi, q_p2, round(q_pmax - p, 9) AS q_gap, round(p - CASE WHEN p = q_pmax THEN q_p2 ELSE q_pmax END, 9) AS q_runner FROM (SELECT *, coalesce(max(CASE WHEN r = 2 THEN p END) OVER (PARTITION BY q), q_pmax) AS q_p2 FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p DESC, s1) AS r, max(p) OVER (PARTITION BY q) AS q_pmax, count(*) OVER (PARTITION BY q) AS q_n, count(*) FILTER (p > 0.5) OVER (PARTITION BY q) AS q_nhi FROM sc))"),
     "stack_s_context": sql("sc", "SELECT q, s1, p, round(sum(p) OVER (PARTITION BY s1), 6) AS s_sum, count(*) FILTER (p > 0.5) OVER (PARTITION BY s1) AS s_nhi, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, q) AS s_rank, count(*) OVER (PARTITION BY s1) AS s_n FROM sc"),
-    "sibling_pairs": sql("sc meta", f"""SELECT q, s1, p, sib, sib_p, CASE WHEN sib IS NOT NULL THEN round({_lev('a.nm', 'b.nm')}, 6) END AS sib_n_ratio, CASE WHEN sib IS NOT NULL THEN round({_lev('a.ad', 'b.ad')}, 6) END AS sib_a_ratio, (a.num1 = b.num1)::INT::DOUBLE AS sib_num_eq FROM (
+    "sibling_pairs": sql("sc meta", f"""SELECT q, s1, p, sib, sib_p, CASE WHEN sib IS NOT NULL THEN round(({_ratio('a.nm', 'b.nm')}) / 100, 6) END AS sib_n_ratio, CASE WHEN sib IS NOT NULL THEN round(({_ratio('a.ad', 'b.ad')}) / 100, 6) END AS sib_a_ratio, (a.num1 = b.num1)::INT::DOUBLE AS sib_num_eq FROM (
       SELECT x.q, x.s1, x.p, arg_min(y.q, (-y.p, y.q)) AS sib, max(y.p) AS sib_p FROM sc x LEFT JOIN sc y ON y.s1 = x.s1 AND y.q <> x.q GROUP BY ALL) JOIN meta a ON a.entity_id = q LEFT JOIN meta b ON b.entity_id = sib"""),
     "shift_number": sql("rec", f"SELECT entity_id, CASE WHEN regexp_extract(business_address, '([0-9]+)', 1) = '' THEN business_address ELSE regexp_replace(business_address, '[0-9]+', greatest(1, regexp_extract(business_address, '([0-9]+)', 1)::BIGINT + CASE WHEN (r & 32) > 0 THEN r % 30 + 1 ELSE -(r % 30 + 1) END)::VARCHAR) END AS shifted FROM (SELECT *, {_n('entity_id')} * 7919 % 10007 AS r FROM rec)"),
     "decoys_removed": sql("rec", "SELECT * FROM rec"),
 }
+
+_flag = lambda c: f"coalesce(({c}), false)::INT::DOUBLE"
+_both = lambda a, b: f"len(list_filter(list_distinct({a}), lambda w: list_contains({b}, w)))"
+_jac = lambda a, b: f"coalesce({_both(a, b)}::DOUBLE / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+_there = lambda c: f"CASE WHEN addr_q <> '' AND addr_s <> '' THEN {c} ELSE 0 END"
+_FORWARD = {
+    "name_lev_sim": "n.lev", "name_jw_sim": "n.jaro_winkler", "name_fuzz_ratio": "n.ratio", "name_token_sort": "n.token_sort", "name_token_set": "n.token_set", "name_partial_ratio": "n.partial",
+    "core_name_ratio": "c.ratio", "core_name_token_sort": "c.token_sort", "compact_name_ratio": "o.ratio", "consonant_skeleton_match": _flag("skel_s = skel_q AND skel_s <> ''"),
+    "consonant_skeleton_ratio": "CASE WHEN skel_s <> '' AND skel_q <> '' THEN k.ratio ELSE 0 END", "name_token_jaccard": _jac("toks_s", "toks_q"), "name_token_overlap_count": _both("toks_s", "toks_q"),
+    "name_length_diff": "abs(length(clean_s) - length(clean_q))", "name_token_count_diff": "abs(len(list_distinct(toks_s)) - len(list_distinct(toks_q)))",
+    "name_prefix_4_match": _flag("length(clean_s) >= 4 AND length(clean_q) >= 4 AND clean_s[1:4] = clean_q[1:4]"), "first_token_match": _flag("toks_s[1] = toks_q[1]"),
+    "first_token_lev": f"CASE WHEN len(toks_s) > 0 AND len(toks_q) > 0 THEN {_lev('toks_s[1]', 'toks_q[1]')} ELSE 0 END", "first_token_skel_match": _flag(f"{_skeleton('toks_s[1]')} = {_skeleton('toks_q[1]')} AND {_skeleton('toks_s[1]')} <> ''"),
+    "name_token_diff_count": f"len({_minus('toks_s', 'toks_q')}) + len({_minus('toks_q', 'toks_s')})",
+    "addr_lev_sim": _there("a.lev"), "addr_jw_sim": _there("a.jaro_winkler"), "addr_fuzz_ratio": _there("a.ratio"), "addr_token_sort": _there("a.token_sort"), "addr_token_set": _there("a.token_set"),
+    "addr_token_jaccard": _there(_jac("aw_s", "aw_q")), "addr_token_overlap_count": _there(_both("aw_s", "aw_q")), "addr_len_diff": "CASE WHEN addr_q <> '' AND addr_s <> '' THEN abs(length(addr_s) - length(addr_q)) ELSE length(addr_s) END",
+    "addr_missing": _flag("addr_q = ''"), "primary_number_match": _flag("nums_s[1] = nums_q[1]"), "number_jaccard": _jac("nums_s", "nums_q"), "number_overlap_count": _both("nums_s", "nums_q"),
+    "num_conflict": _flag(f"len(nums_s) > 0 AND len(nums_q) > 0 AND {_both('nums_s', 'nums_q')} = 0"), "postal_pin_match": _flag(f"{_both('pin_s', 'pin_q')} > 0"), "source_is_s2": _flag("q_src = 2"),
+}
+_grow = lambda probs: f"list_reduce(list_transform({probs}, lambda x: [1 - x, x]), lambda acc, e: list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0) * e[1] + CASE WHEN i > 1 THEN acc[i - 1] ELSE 0 END * e[2]), [1::DOUBLE])"
+_FEATURES = ["feat_context", "feat_tokens", "feat_same_num", "feat_decoy", "feat_mindiff", "feat_uniq", "feat_ambiguity", "feat_numbers", "feat_fuzzy", "feat_tiebreaks", "feat_label"]
+
+ORACLE |= {
+    "baseline_features_38": sql("bp k_clean k_core k_addr k_compact k_skel", "SELECT *, round(name_token_sort * addr_token_sort, 6) AS name_x_addr_sim, (name_token_sort >= 0.85 AND addr_token_sort >= 0.7)::INT::DOUBLE AS name_strong_and_addr_strong, (addr_missing = 1 AND name_token_sort >= 0.85)::INT::DOUBLE AS missing_addr_strong_name FROM (SELECT s1, q, "
+      + ", ".join(f"round(({v})::DOUBLE, 6) AS {k}" for k, v in _FORWARD.items()) + " FROM bp JOIN k_clean n ON n.x = clean_s AND n.y = clean_q JOIN k_core c ON c.x = core_s AND c.y = core_q JOIN k_addr a ON a.x = addr_s AND a.y = addr_q JOIN k_compact o ON o.x = compact_s AND o.y = compact_q JOIN k_skel k ON k.x = skel_s AND k.y = skel_q)"),
+    "features_61": sql(" ".join(["cand", *(ORACLE[f].needs for f in _FEATURES)]), "SELECT q, s1, " + ", ".join(ALL) + ", label FROM cand " + " ".join(f"JOIN ({ORACLE[f].body}) {f} USING (q, s1)" for f in _FEATURES)),
+    "float_matrix": sql("cand", f"SELECT q, s1, score::FLOAT AS score, margin::FLOAT AS margin FROM cand JOIN ({ORACLE['feat_context'].body}) f USING (q, s1)"),
+    "error_sample": sql(ORACLE["error_taxonomy"].needs, ORACLE["error_taxonomy"].body),
+    "sample_fraction": sql("rec", f"SELECT entity_id FROM rec WHERE {_dice("'share'", 'entity_id')} < 300000"),
+    "sample_with_replacement": sql("rec", f"SELECT entity_id, unnest(range(0, {_copies('0.8::DOUBLE', "'again'", 'entity_id')}))::INT AS copy FROM rec"),
+    "synth_decoys": sql("marked", "SELECT src, country, to_name AS business_name, to_addr AS business_address, 'S' || src || '-SYN' || md5(q || '|' || copy) AS entity_id, CASE WHEN linked THEN 'mark' ELSE 'reshift' END AS kind FROM marked WHERE to_name <> name OR to_addr <> addr"),
+    "experiment_log": sql("per per6", """SELECT '{"f05": ' || a || ', "run": 0}' AS result, 'KEEP' AS verdict FROM (SELECT round(avg(f), 6) AS a FROM per) UNION ALL
+      SELECT '{"f05": ' || b || ', "run": 1}', CASE WHEN b > a THEN 'KEEP' ELSE 'REJECT' END FROM (SELECT round(avg(f), 6) AS a FROM per), (SELECT round(avg(f), 6) AS b FROM per6)"""),
+    "streaming_link": sql("keys0", "SELECT o.entity_id AS q, s.entity_id AS s1, bit FROM (SELECT *, count(*) OVER (PARTITION BY country, bit, key) AS n FROM keys0 WHERE src = 1) s JOIN keys0 o USING (country, bit, key) WHERE o.src > 1 AND n <= 50"),
+    "dp_decoder": sql("best", f"""WITH lists AS (SELECT s1, list(q ORDER BY p DESC, q) AS qs, list(p ORDER BY p DESC, q) AS raw, list(least(greatest(p, 0.00001), 0.99999) ORDER BY p DESC, q) AS ps FROM best GROUP BY s1),
+      halves AS (SELECT s1, qs, raw, k, len(ps) AS n, {_grow('ps[1:k]')} AS h, {_grow('ps[k + 1:]')} AS t FROM (SELECT *, unnest(range(0, len(ps) + 1)) AS k FROM lists)),
+      worth AS (SELECT s1, qs, raw, k, round(CASE WHEN k = 0 THEN t[1] ELSE list_sum(list_transform(range(0, k + 1), lambda x: list_sum(list_transform(range(0, n - k + 1), lambda z: h[x + 1] * t[z + 1] * 1.25 * x / (k + 0.25 * (x + z)))))) END, 12) AS v FROM halves),
+      chosen AS (SELECT s1, any_value(qs) AS qs, any_value(raw) AS raw, arg_min(k, (-v, k)) AS k FROM worth GROUP BY s1)
+      SELECT unnest(qs[1:k]) AS q, s1, unnest(raw[1:k]) AS p FROM chosen""".replace("WITH lists", ", lists", 1)),
+}

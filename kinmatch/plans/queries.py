@@ -1,8 +1,6 @@
 """One query for each operator, over the linkage view of documents (and other tables where an operator is about them).
 
-Thresholds for millions of records are parameters; the view has thousands, so the queries pass config.SMALL.  Where an
-operator ranks by a string similarity that SQL lacks, the checked query uses Levenshtein's and a second
-query the kernel itself.
+Thresholds for millions of records are parameters; the view has thousands, so the queries pass config.SMALL.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ from kinmatch.functions import similarity as K
 from kinmatch.functions import text as T
 from kinmatch.operators import augment, block, decide, features, learn, model, quality, stack
 from kinmatch.sources import fixture, io
+from kinmatch.plans import flow
 from kinmatch.streaming import link
 
 QUERIES = {}
@@ -35,6 +34,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
@@ -43,10 +44,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 class View:
-    """The frames that queries start from, each a lazy plan."""
+    """The frames that queries start from, each a lazy plan: of the linkage view over documents, or of records and truth (s1, q) given."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str = "", records: DataFrame | None = None, truth: DataFrame | None = None):
         self.spark, self.dir = spark, sf_dir
+        if records is not None:
+            self.rec = records
+        if truth is not None:
+            self.gt = truth
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -56,12 +61,33 @@ class View:
         return fixture.records(self.spark, self.dir)
 
     @functools.cached_property
-    def norm(self):
-        return fixture.normalised(self.spark, self.dir)
+    def base(self):
+        """Tokens, written once: the lexicons, the truth and the finished records start from them."""
+        return io.stage(fixture.normalised(self.rec), scratch(self.spark, "tokens"))
 
     @functools.cached_property
     def gt(self):
-        return fixture.truth(self.norm)
+        return fixture.truth(self.base)
+
+    @functools.cached_property
+    def spellings(self):
+        """kind, bad, good, n, nt of both maps."""
+        one = lambda pairs, c, kind: learn.spelling_map(learn.pair_tokens(pairs, self.base, c), SMALL).withColumn("kind", F.lit(kind))
+        return one(truth_by_address(self), "nm", "name").unionByName(one(self.gt, "ad", "addr"))
+
+    @functools.cached_property
+    def tokens(self):
+        return learn.respelt(self.base, self.spellings)
+
+    def fill(self, kind):
+        lift = SMALL.noise_lift_name if kind == "name" else SMALL.noise_lift_addr
+        return learn.filler_words(self.tokens, self.base, kind, lift, SMALL.noise_share)
+
+    @functools.cached_property
+    def norm(self):
+        """Finished records, written once."""
+        fillers = [self.fill(kind).withColumn("kind", F.lit(kind)) for kind in ("name", "addr")]
+        return io.stage(learn.finished(self.base, self.spellings, fillers[0].unionByName(fillers[1])), scratch(self.spark, "norm"))
 
     @functools.cached_property
     def entries(self):
@@ -119,6 +145,12 @@ class View:
     def dec(self):
         return learn.decoy_words(self.full, self.meta, SMALL)
 
+    @functools.cached_property
+    def matrix(self):
+        """The labelled features with their fold, written once: every fit reads them several times."""
+        f = features.build(self.cand, self.meta, self.dec, truth=self.gt).withColumn("fold", model.id_fold(F.col("s1")))
+        return io.stage(f, scratch(self.spark, "matrix"))
+
     @functools.cached_property
     def fwd(self):
         return block.forward_keys(self.rec)
@@ -157,7 +189,7 @@ def ground_truth_long(v):
 @query
 def truth_pairs_assembly(v):
     """True pairs with the texts of both sides."""
-    side = lambda key, end: v.norm.select(F.col("entity_id").alias(key), F.col("nm").alias(f"nm_{end}"), F.col("ad").alias(f"ad_{end}"))
+    side = lambda key, end: v.base.select(F.col("entity_id").alias(key), F.col("nm").alias(f"nm_{end}"), F.col("ad").alias(f"ad_{end}"))
     return v.gt.join(side("s1", "s"), "s1").join(side("q", "q"), "q")
 
 
@@ -180,9 +212,11 @@ def results_tsv_round_trip(v):
 
 @query
 def text_lines(v):
-    """Lines with a byte-order mark and carriage returns put on and taken off."""
-    marked = F.concat(F.lit("﻿"), F.col("entity_id"), F.lit("\t"), F.col("business_name"), F.lit("\r"))
-    return v.rec.select("entity_id", io.clean_line(marked).alias("line"))
+    """A file with a byte-order mark and carriage returns, read line by line."""
+    path = scratch(v.spark, "lines")
+    marked = F.concat(F.lit("\ufeff"), F.col("entity_id"), F.lit("\t"), F.col("business_name"), F.lit("\r"))
+    v.rec.select(marked.alias("value")).write.text(path)
+    return io.read_lines(v.spark, path)
 
 
 @query
@@ -201,12 +235,28 @@ def staged_norm(v):
     return io.stage(v.norm, path).select("entity_id", "nm", "ad")
 
 
+@query
+def float_matrix(v):
+    """Features as single-precision columns, written and read back."""
+    path = scratch(v.spark, "matrix")
+    io.write_matrix(features.context(v.cand).select("q", "s1", "score", "gap", "margin"), ["score", "gap", "margin"], path)
+    return io.read_matrix(v.spark, path, ["q", "s1", "score", "margin"])
+
+
+@query
+def error_sample(v):
+    """The errors as a TSV, read back."""
+    path = scratch(v.spark, "errors")
+    io.write_tsv(decide.errors(v.scored, decide.assign(v.scored, THRESHOLD), v.gt).select("kind", "p", "s1", "q"), path)
+    return io.read_tsv(v.spark, path, "kind string, p double, s1 string, q string")
+
+
 @query
 def json_artefacts(v):
     """The mined lexicons as a JSON artefact, written, read back and laid out again.  They hold only what passed a support threshold."""
     path = scratch(v.spark, "noise")
     noise: dict = {}
-    for r in learn.filler_words(v.norm, "nm", SMALL.noise_lift_name, SMALL.noise_share).collect():
+    for r in v.fill("name").collect():
         noise.setdefault(r["country"], []).append(r["tok"])
     io.write_json(v.spark, noise, path)
     return v.spark.createDataFrame([(c, t) for c, words in io.read_json(v.spark, path).items() for t in words], "country string, tok string")
@@ -237,12 +287,12 @@ def frequent_words(v):
 
 @query
 def name_tokens(v):
-    return v.norm.select("entity_id", "nm")
+    return v.base.select("entity_id", "nm")
 
 
 @query
 def addr_tokens(v):
-    return v.norm.select("entity_id", "ad")
+    return v.base.select("entity_id", "ad")
 
 
 @query
@@ -257,12 +307,12 @@ def full_names(v):
 
 @query
 def consonant_skeleton(v):
-    return v.rec.select("entity_id", T.skeleton(T.latin(F.col("business_name"))).alias("skeleton"))
+    return v.rec.select("entity_id", T.skeleton(T.plain(F.col("business_name"))).alias("skeleton"))
 
 
 @query
 def transliterated(v):
-    return v.rec.select("entity_id", F.lower(K.transliterate("business_name")).alias("name"))
+    return v.rec.select("entity_id", T.plain(F.col("business_name")).alias("name"))
 
 
 @query
@@ -272,24 +322,24 @@ def baseline_keys_fast(v):
 
 @query
 def learned_map(v):
-    return learn.spelling_map(learn.pair_tokens(truth_by_address(v), v.norm, "nm"), SMALL)
+    return v.spellings
 
 
 def truth_by_address(v):
     """Pairs by equal first two address words and country: names may differ."""
     key = F.concat_ws(" ", F.slice(T.words(F.col("ad")), 2, 2))
-    first = v.norm.filter("src = 1 and ad <> ''").groupBy("country", key.alias("k")).agg(F.min("entity_id").alias("s1"))
-    return v.norm.filter("src > 1").select("country", key.alias("k"), F.col("entity_id").alias("q")).join(first, ["country", "k"]).select("s1", "q")
+    first = v.base.filter("src = 1 and ad <> ''").groupBy("country", key.alias("k")).agg(F.min("entity_id").alias("s1"))
+    return v.base.filter("src > 1").select("country", key.alias("k"), F.col("entity_id").alias("q")).join(first, ["country", "k"]).select("s1", "q")
 
 
 @query
 def filler_lexicon(v):
-    return learn.filler_words(v.norm, "nm", SMALL.noise_lift_name, SMALL.noise_share)
+    return v.fill("name")
 
 
 @query
 def filler_lexicon_addr(v):
-    return learn.filler_words(v.norm, "ad", SMALL.noise_lift_addr, SMALL.noise_share)
+    return v.fill("addr")
 
 
 @query
@@ -310,14 +360,8 @@ def marker_words(v):
 
 @query
 def finish_tokens(v):
-    """Names through the mined spellings and without fillers."""
-    one = lambda d, k, c: d.groupBy(k).agg(c)
-    spell = learn.spelling_map(learn.pair_tokens(truth_by_address(v), v.norm, "nm"), SMALL)
-    known = one(spell, F.lit("name").alias("kind"), F.map_from_entries(F.collect_list(F.struct("bad", "good"))).alias("known"))
-    noise = one(learn.filler_words(v.norm, "nm", SMALL.noise_lift_name, SMALL.noise_share), "country", F.collect_set("tok").alias("noise"))
-    out = v.norm.withColumn("kind", F.lit("name")).join(known, "kind", "left").join(noise, "country", "left")
-    empty = F.array().cast("array<string>")
-    return out.select("entity_id", T.finish(F.col("nm"), F.coalesce("known", F.create_map().cast("map<string,string>")), F.coalesce("noise", empty), T.STOP).alias("finished"))
+    """Names and addresses through the mined spellings and without fillers."""
+    return v.norm.select("entity_id", "nm", "ad", "spelt")
 
 
 # Candidates
@@ -338,11 +382,6 @@ def key_pairs_top2(v):
     return v.keyed
 
 
-@query
-def key_pairs_top2_ratio(v):
-    return block.key_pairs(v.keys, SMALL, "ratio")
-
-
 @query
 def key_bitmask_union(v):
     return block.key_union(v.keyed)
@@ -470,19 +509,8 @@ def feat_numbers(v):
     return features.number_sets(v.pairs).select("q", "s1", "src", "translit", *features.NUMBERS)
 
 
-def _plain(v):
-    """Pairs whose raw texts have lost their marks: SQL's Levenshtein counts bytes."""
-    return v.pairs.withColumns({c: T.latin(F.col(c)) for c in ("raw_name_q", "raw_name_s", "raw_addr_q", "raw_addr_s")})
-
-
 @query
 def feat_fuzzy(v):
-    """The similarity columns with Levenshtein's in every place."""
-    return features.fuzzy(_plain(v), kernels=False).select("q", "s1", *features.FUZZY)
-
-
-@query
-def feat_fuzzy_kernels(v):
     return features.fuzzy(v.pairs).select("q", "s1", *features.FUZZY)
 
 
@@ -493,7 +521,7 @@ def feat_jaro_winkler(v):
 
 @query
 def feat_tiebreaks(v):
-    return features.ties(features.fuzzy(_plain(v), kernels=False)).select("q", "s1", *features.TIES)
+    return features.ties(features.fuzzy(v.pairs)).select("q", "s1", *features.TIES)
 
 
 @query
@@ -506,13 +534,6 @@ def features_61(v):
     return features.build(v.cand, v.meta, v.dec, truth=v.gt)
 
 
-@query
-def baseline_features(v):
-    """The forward features with Levenshtein's similarity in every place."""
-    pairs = v.channel_pairs.select("s1", "q").distinct()
-    return features.baseline(pairs, v.fwd, v.rec, kernels=False)
-
-
 @query
 def baseline_features_38(v):
     return features.baseline(v.channel_pairs.select("s1", "q").distinct(), v.fwd, v.rec)
@@ -701,6 +722,16 @@ def seeded_sample(v):
     return v.rec.orderBy(_number("entity_id") * 7919 % 10007, "entity_id").limit(100).select("entity_id")
 
 
+@query
+def sample_fraction(v):
+    return augment.sample_fraction(v.rec, 0.3, "share", "entity_id").select("entity_id")
+
+
+@query
+def sample_with_replacement(v):
+    return augment.resample(v.rec, 0.8, "again", "entity_id").select("entity_id", "copy")
+
+
 # Stacking and augmentation
 
 
@@ -716,7 +747,7 @@ def stack_s_context(v):
 
 @query
 def sibling_pairs(v):
-    return stack.sibling_likeness(v.scored, v.meta, "levenshtein")
+    return stack.sibling_likeness(v.scored, v.meta)
 
 
 @query
@@ -726,7 +757,8 @@ def shift_number(v):
 
 def _decoys(v):
     q = v.rec.filter("src > 1").select(F.col("entity_id").alias("q"), "src", "country", "business_name", "business_address")
-    return augment.make_decoys(v.gt.join(q, "q"), learn.marker_words(_extras(v), SMALL), 1.2)
+    quota = int(1.2 * v.entries.count())
+    return augment.make_decoys(q.join(v.gt, "q", "left_semi"), q.join(v.gt, "q", "left_anti"), learn.marker_words(_extras(v), SMALL), quota)
 
 
 @query
@@ -745,14 +777,18 @@ def decoys_removed(v):
 
 
 def _training(v):
-    """The labelled matrix, written once: every fit reads it several times."""
-    f = features.build(v.cand, v.meta, v.dec, kernels=False, truth=v.gt).withColumn("fold", model.id_fold(F.col("s1")))
-    return io.stage(f, scratch(v.spark, "matrix"))
+    return v.matrix
 
 
 COLUMNS = features.ALL
 
 
+@query
+def linked_end_to_end(v):
+    """Records to results: the whole flow with a model, and what its held-out fold says."""
+    return flow.run(v).report
+
+
 @query
 def gbt_scores(v):
     f = _training(v).withColumn("late", F.col("fold") == 1)
@@ -809,7 +845,7 @@ def stage2_scores(v):
     """A second model over the first features and the context of out-of-fold scores."""
     f = _training(v).drop("fold")
     oof = model.out_of_fold(f, COLUMNS, 3, maxIter=3, maxDepth=3).select("q", "s1", "p")
-    ctx = stack.contexts(oof, v.meta, "levenshtein").drop("sib").withColumnRenamed("p", "p1")
+    ctx = stack.contexts(oof, v.meta).drop("sib").withColumnRenamed("p", "p1")
     both = f.join(ctx, ["q", "s1"])
     cols = [c for c in both.columns if c not in ("q", "s1", "label")]
     return model.score(model.fit(both, cols, maxIter=3, maxDepth=3), both, cols).select("q", "s1", "label", "p")

@@ -77,6 +77,16 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
+def write_matrix(features: DataFrame, columns: list[str], path: str) -> None:
+    """A matrix of features in single precision beside its keys."""
+    features.select(*[F.col(c).cast("float").alias(c) if c in columns else F.col(c) for c in features.columns]).write.mode("overwrite").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The named columns only; the others are not read."""
+    return spark.read.parquet(path).select(*columns)
+
+
 def append_log(spark: SparkSession, path: str, row: dict, keep: bool) -> None:
     """A row of an experiment log with its verdict."""
     spark.createDataFrame([(json.dumps(row, sort_keys=True), "KEEP" if keep else "REJECT")], "result string, verdict string").write.mode("append").json(path)

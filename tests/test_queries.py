@@ -6,11 +6,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kinmatch import __main__ as cli
+from kinmatch.operators import augment, decide, features, learn
 from kinmatch.plans import oracle, queries
 from kinmatch.plans.queries import View
+from kinmatch.sources import io
 
 SF = "/root/testdata/sf0.001"
-FAST = ["records_view", "tsv_round_trip", "name_tokens", "addr_tokens", "exact_keys", "key_pairs_top2", "tfidf_topk_join", "candidates_pruned", "feat_context", "feat_numbers", "feat_ambiguity", "expected_f", "threshold_curve", "error_taxonomy", "validator_errors", "gt_profile", "evidence_topk", "shift_number"]
+FAST = ["records_view", "tsv_round_trip", "name_tokens", "addr_tokens", "exact_keys", "key_pairs_top2", "tfidf_topk_join", "candidates_pruned", "feat_context", "feat_numbers", "feat_mindiff", "feat_fuzzy", "finish_tokens", "features_61", "baseline_features_38", "dp_decoder", "synth_decoys", "streaming_link", "text_lines", "expected_f", "threshold_curve", "error_taxonomy", "validator_errors", "gt_profile", "evidence_topk", "shift_number"]
 
 
 def tidy(v):
@@ -48,11 +51,6 @@ def test_results_have_every_entry_once(spark):
     assert ids.count() == ids.distinct().count()
 
 
-def test_61_features(spark):
-    out = queries.QUERIES["features_61"](spark, SF)
-    assert len(out.columns) == 61 + 3 and out.count() == View(spark, SF).cand.count()
-
-
 def test_entry(spark):
     import __spark_entry__
 
@@ -62,3 +60,49 @@ def test_entry(spark):
 def test_synthetic_decoys_go_again(spark):
     v = View(spark, SF)
     assert queries.QUERIES["decoys_removed"](spark, SF).count() == v.rec.count()
+
+
+def test_missing_numbers_stay_missing(spark):
+    rows = spark.createDataFrame([(["5"], None, []), ([], "7", ["7"]), (["9999999"], "1", ["1"])], "nums_q array<string>, num1_s string, nums_s array<string>")
+    wide = rows.select("*", *[F.lit("a").alias(c) for c in ("nm_q", "nm_s", "ad_q", "ad_s")])
+    got = features.number_sets(features.number_distance(wide)).select("s_num_mindiff", "s_num_in_q", "num_first_diff").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, None, None), (None, None, None), (1_000_000, 0, 1_000_000)], key=str)
+
+
+def test_finished_records(spark):
+    rows = [("1", 1, "US", "acme praivet shop lc", "12 mn st"), ("2", 2, "US", "shop lc", ""), ("3", 2, "FR", "lc", "shop")]
+    norm = spark.createDataFrame(rows, "entity_id string, src int, country string, nm string, ad string")
+    spell = spark.createDataFrame([("name", "praivet", "private"), ("addr", "mn", "main")], "kind string, bad string, good string")
+    filler = spark.createDataFrame([("name", "US", "shop"), ("addr", "FR", "shop")], "kind string, country string, tok string")
+    got = {r.entity_id: (r.nm, r.ad, r.spelt) for r in learn.finished(norm, spell, filler).collect()}
+    assert got == {"1": ("acme", "12 main st", "acme private shop lc"), "2": ("shop", "", "shop lc"), "3": ("lc", "shop", "lc")}
+
+
+def test_draws_with_replacement(spark):
+    rows = spark.range(20000).withColumn("k", F.col("id").cast("string"))
+    drawn = augment.resample(rows, 1.5, "s", "k")
+    assert abs(drawn.count() - 30000) < 900
+    assert drawn.groupBy("k", "copy").count().filter("count > 1").isEmpty()
+    assert abs(augment.sample_fraction(rows, 0.3, "s", "k").count() - 6000) < 300
+
+
+def test_long_lists_take_the_closed_form(spark):
+    pairs = spark.createDataFrame([(f"q{i}", "a", 0.9 - i / 100) for i in range(30)] + [("x", "b", 0.9)], "q string, s1 string, p double")
+    short = decide.decode_entries(pairs, longest=5)
+    assert {r.q for r in short.filter("s1 = 'a'").collect()} == {r.q for r in decide.expected_f(pairs).filter("s1 = 'a'").collect()}
+    assert short.filter("s1 = 'b'").count() == 1
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    v, paths = View(spark, SF), []
+    for src in (1, 2, 3):
+        paths.append(str(tmp_path / f"s{src}"))
+        io.write_tsv(v.rec.filter(F.col("src") == src).select("entity_id", "business_name", "business_address", "country"), paths[-1])
+    io.write_lists(v.entries, v.gt, "matched_entity_ids", str(tmp_path / "truth"))
+    assert cli.main(["link", "--sources", *paths, "--truth", str(tmp_path / "truth"), "--out", str(tmp_path / "out")], spark) == 0
+    assert io.read_json(spark, str(tmp_path / "out" / "report"))["entries"] > 0
+    assert cli.main(["validate", "--result", str(tmp_path / "out" / "results"), "--entries", paths[0]], spark) == 0
+    bad = tmp_path / "bad"
+    bad.write_text("source1_entity_id,matched_entity_ids\nS1-0 S2-1\n")
+    assert cli.main(["validate", "--result", str(bad), "--entries", paths[0]], spark) == 1
+    assert "comma_header" in capsys.readouterr().out
