@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,34 +10,46 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 #: Rows of one Arrow batch at most; texts differ in length by four orders of magnitude.
 BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text handled in one go by the numpy kernels.
 CHUNK_BYTES = 1 << 21
-NULL_ID = -(2**63)
+#: The key of a row: see keyed().
+RID = "struct<id:bigint,h:bigint>"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where it is unset."""
+    """The folder that the driver and all executors share; set here only where it is unset, in local mode."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 class Stages:
-    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a rerun."""
+    """Tables written to the shared folder to cut lineage: a lost executor costs a reread, not a rerun.
+
+    What the returned DataFrame still reads stays until the session's owner clears the folder; the rest is dropped on the way.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -45,10 +57,10 @@ class Stages:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, name: str, df: DataFrame, *by: str) -> DataFrame:
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(name))
-        release(self.spark)
+    def put(self, name: str, df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+        """Write df and read it back.  Its shuffle files go with the write; rows: the most in one Arrow batch."""
+        with setting(self.spark, CLEAN_CONF, "true"), setting(self.spark, BATCH_CONF, str(rows)):
+            df.select("*").write.mode("overwrite").parquet(self.path(name))
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:
@@ -59,29 +71,24 @@ class Stages:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(sc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
 
 
 def small_batches(spark: SparkSession) -> None:
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Small Arrow batches for what the caller runs of a lazy result: the setting is read when that runs, so it stays."""
+    if int(spark.conf.get(BATCH_CONF, "10000")) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """rid, doc_id and text (null: empty) of the documents, and the columns of more.
 
-    rid orders as doc_id and is doc_id where ids are unique.  Where they aren't, rows of one id and
-    equal texts share a rid (one document, listed repeatedly) and other texts get rids of their own,
-    in the order of their hashes.  A null id is a key of its own, before all others.
+    rid is the pair (doc_id, hash of the text).  It orders as doc_id, a null id before all others; rows of one id and equal texts
+    share it (one document, listed repeatedly), other texts of that id have rids of their own.  It is made row by row,
+    from the row alone: no ids clash, overflow or depend on other rows.
     """
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
-    repeated = rows.groupBy("doc_id").count().filter("count > 1").limit(1)
-    if not repeated.count():
-        return rows.select(rid.alias("rid"), "doc_id", "text", *more)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    wide = F.when(F.col("doc_id").isNull(), F.lit(NULL_ID)).otherwise(F.col("doc_id").cast("long") * 4096)
-    return rows.select((wide + F.dense_rank().over(order) - 1).alias("rid"), "doc_id", "text", *more)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rid = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    return docs.select(rid.alias("rid"), "doc_id", text.alias("text"), *more)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -101,7 +108,7 @@ def chunks(data: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[range]:
 
 
 def components(stages: Stages, edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """node, component (its least node) of an undirected graph given as edges (a, b).
+    """node, component (its least node) of an undirected graph given as edges (a, b) of any type that has an order.
 
     Each round every node hooks onto its least neighbour, parents are shortened once and the edges are
     contracted, until none is left.  Only grouped minima and joins: a hub's neighbours never meet in a task.

@@ -6,7 +6,7 @@ bit in one of the segments, and so share a one-wildcard variant of it: the segme
 Each distinct fingerprint is indexed under its 64 variants, variants are joined by equality, and the full
 distance of what meets is verified.
 
-Only distinct fingerprints are indexed, each by its least document.  A bucket of more than
+Only distinct fingerprints are indexed; links and components are among fingerprints, documents join at the end.  A bucket of more than
 `bucket` fingerprints isn't paired: its members get, as well, the 65 words within one bit of them.  Two fingerprints are
 within two bits exactly if they share such a word, so a bucket of these is a clique and a star suffices.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import windows as W
-from llm.common import Stages, components, keyed, small_batches, texts
+from llm.common import RID, Stages, components, keyed, small_batches, texts
 
 SHINGLE, SEED = 3, 42
 BUCKET = 32
@@ -57,28 +57,26 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(x, shingle) for x in texts(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(fp)], ["rid", "doc_id", "fp"])
 
-    return docs.mapInArrow(scan, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(scan, f"rid {RID}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def links(st: Stages, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that connect whatever is linked; prints: node, fp, each fp once."""
+    """Edges (a, b) between fingerprints that connect whatever is linked; prints: fp, each once."""
     half = F.col("fp").bitwiseAND(0xFFFFFFFF)
     parts = prints.withColumn("part", F.explode(F.array(F.struct(F.lit(0).alias("seg"), half.alias("bits")), F.struct(F.lit(1).alias("seg"), F.shiftrightunsigned("fp", 32).alias("bits")))))
     cut = parts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(31))))
     # One key: 31 bits, the place that is left out and the segment.
     variant = F.expr("part.bits & ~shiftleft(1L, j)").bitwiseOR(F.expr("shiftleft(cast(j * 2 + part.seg as long), 32)")).alias("key")
-    rows = st.put("variants", cut.select("node", "fp", variant))
-    size = rows.groupBy("key").count().filter("count > 1")
+    rows = st.put("variants", cut.select("fp", variant))
+    size = st.put("sizes", rows.groupBy("key").count().filter("count > 1"))
     small = rows.join(size.filter(F.col("count") <= bucket), "key")
-    left, right = small.select("key", F.col("node").alias("a"), F.col("fp").alias("x")), small.select("key", F.col("node").alias("b"), F.col("fp").alias("y"))
-    near = left.join(right, "key").filter("a < b and bit_count(x ^ y) <= 2").select("a", "b").distinct()
-    st.put("near", near)
-    crowd = rows.join(size.filter(F.col("count") > bucket), "key", "left_semi").select("node", "fp").distinct()
-    crowd = st.put("crowd", crowd)
-    ball = crowd.withColumn("word", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))"))).select("node", "word")
-    centre = ball.groupBy("word").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
-    star = ball.join(centre, "word").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    st.put("star", star)
+    left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
+    st.put("near", left.join(right, "key").filter("a < b and bit_count(a ^ b) <= 2").select("a", "b").distinct())
+    crowd = st.put("crowd", rows.join(size.filter(F.col("count") > bucket), "key", "left_semi").select("fp").distinct())
+    st.drop("variants", "sizes")
+    ball = crowd.withColumn("word", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")))
+    centre = ball.groupBy("word").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("word", "a")
+    st.put("star", ball.join(centre, "word").filter("fp <> a").select("a", F.col("fp").alias("b")).distinct())
     return st.get("near").unionByName(st.get("star"))
 
 
@@ -87,13 +85,14 @@ def near_copies(spark: SparkSession, rows: DataFrame, shingle: int = SHINGLE) ->
     small_batches(spark)
     st = Stages(spark, "simhash")
     prints = st.put("prints", fingerprints(rows.select("rid", "doc_id", "text"), shingle))
-    distinct = st.put("distinct", prints.groupBy("fp").agg(F.min("rid").alias("node"), F.min_by("doc_id", "rid").alias("least")))
-    roots = components(st, links(st, distinct.select("node", "fp")))
-    st.drop("variants", "near", "star", "crowd")
-    ids = distinct.select(F.col("node").alias("component"), F.col("least").alias("component_id"))
-    of = distinct.join(roots, "node", "left").select("fp", F.coalesce("component", "node").alias("component")).join(ids, "component").select("fp", "component", "component_id")
-    st.put("of", of)
-    return prints.join(st.get("of"), "fp", "left")
+    distinct = st.put("distinct", prints.groupBy("fp").agg(F.min("rid").alias("least")))
+    roots = components(st, links(st, distinct.select("fp")))
+    st.drop("near", "star", "crowd")
+    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    of = st.put("of", of)
+    ids = of.groupBy("root").agg(F.min("least").alias("component"))
+    of = st.put("whole", of.join(ids, "root").select("fp", "component", F.col("component.id").alias("component_id")))
+    return prints.join(of, "fp", "left")
 
 
 def dedup_simhash(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

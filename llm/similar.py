@@ -3,7 +3,9 @@
 SimHash (simhash.py) links most near copies without regard to a group's size; its links count here once
 the sets prove them.  What it misses is found by prefix filtering, which misses nothing: in any one order of the
 shingles, two sets that are similar share a shingle among the first n - ceil(similarity * n) + 1 of each.  The order is
-by hash, with shingles that many prefixes hold put last, so that common passages rarely meet in a bucket.
+by hash, with shingles that many sets hold put last, so that common passages rarely meet in a bucket.  Only shingles that a
+count-min sketch calls repeated are written: the sketch counts all of hash below `COUNTED`, and its estimates err
+upwards only; shingles above are written unseen, so no link is lost.
 
 A bucket of more than `BUCKET` sets isn't paired at once.  Its members are compared with the least, components are
 taken, and the bucket goes on without it, while it has more than one component; pairs within a component need
@@ -21,17 +23,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import windows as W
-from llm.common import Stages, components, small_batches, texts
+from llm.common import BATCH_CONF, RID, Stages, components, setting, small_batches, texts
 from llm.simhash import BUCKET, LOWER, fingerprints, links
+from llm.sketch import reached, sketch, width
 
 SHINGLE, SIMILARITY = 5, 0.8
 ROUNDS = 4
-#: Common shingles that are put last, at most; which they are doesn't touch the result.
-HOT = 1 << 17
+#: Shingles of hash below this are counted.
+COUNTED = np.uint64(1 << 63)
+#: Sets that hold a shingle that is put last, at least.
+HOT = 33
+#: Cells of the sketch, as a power of two, at most.
+MAX_BITS = 28
 SLACK = 1e-9
 #: Rows of an Arrow batch of sets, two sets of up to 160 kB each.
 SET_ROWS = 50
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch of texts that become sets.
+TEXT_ROWS = 250
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -42,27 +50,35 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
 
 
 def _prefix(h: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, those that are hot after the others."""
     n = len(h) - math.ceil(similarity * len(h) - SLACK) + 1 if len(h) else 0
-    if len(hot) and len(h):
-        last = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
-        h = np.r_[h[~last], h[last]]
-    return h[:n]
+    return np.r_[h[~hot], h[hot]][:n]
 
 
-def prefixes(base: DataFrame, hot, k: int, similarity: float) -> DataFrame:
-    """rid, n (size of the set), h (a shingle of its prefix)."""
+def prefixes(base: DataFrame, bitmaps, bits: int, k: int, similarity: float) -> DataFrame:
+    """rid, n (size of the set), h (a shingle of its prefix) but those that no other set has."""
 
     def scan(batches):
-        late = hot.value
+        often, twice = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
         for batch in batches:
             sets = [shingles(x, k) for x in texts(batch)]
-            heads = [_prefix(h, late, similarity) for h in sets]
+            heads = []
+            for h in sets:
+                low = int(np.searchsorted(h, COUNTED))
+                hot = np.zeros(len(h), bool)
+                hot[:low] = reached(h[:low], often, bits)
+                head = _prefix(h, hot, similarity)
+                seen = head < COUNTED
+                keep = ~seen
+                keep[seen] = reached(head[seen], twice, bits)
+                heads.append(head[keep])
             size = [len(h) for h in heads]
             if sum(size):
-                rid, n = np.repeat(batch.column("rid").to_numpy(), size), np.repeat([len(h) for h in sets], size)
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(n.astype(np.int32)), pa.array(np.concatenate(heads).view(np.int64))], ["rid", "n", "h"])
+                at = pa.array(np.repeat(np.arange(len(sets)), size))
+                n = np.repeat([len(h) for h in sets], size).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), pa.array(n), pa.array(np.concatenate(heads).view(np.int64))], ["rid", "n", "h"])
 
-    return base.select("rid", "text").mapInArrow(scan, "rid long, n int, h long")
+    return base.select("rid", "text").mapInArrow(scan, f"rid {RID}, n int, h long")
 
 
 def digests(rows: DataFrame, k: int) -> DataFrame:
@@ -73,7 +89,7 @@ def digests(rows: DataFrame, k: int) -> DataFrame:
             out = [hashlib.md5(shingles(x, k).tobytes()).digest() for x in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary())], ["rid", "digest"])
 
-    return rows.select("rid", "text").mapInArrow(scan, "rid long, digest binary")
+    return rows.select("rid", "text").mapInArrow(scan, f"rid {RID}, digest binary")
 
 
 def proved(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -93,17 +109,18 @@ def proved(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> Data
                 good.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = base.select("rid", "text").join(ends, "rid", "left_semi").mapInArrow(sets, "rid long, set binary")
+    of = base.select("rid", "text").join(ends, "rid", "left_semi").mapInArrow(sets, f"rid {RID}, set binary")
     side = lambda c, s: of.select(F.col("rid").alias(c), F.col("set").alias(s))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(look, "a long, b long")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(look, f"a {RID}, b {RID}")
 
 
 def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """rid, component (least rid reachable by links) of keyed rows.  Texts without words are copies of each other."""
     small_batches(spark)
     st = Stages(spark, "similar")
-    of = st.put("digests", digests(rows, k))
+    of = st.put("digests", digests(rows, k), TEXT_ROWS)
     same = st.put("same", of.join(of.groupBy("digest").agg(F.min("rid").alias("node")), "digest").select("node", "rid").distinct())
+    st.drop("digests")
     least = same.select(F.col("node").alias("rid")).distinct()
     base = st.put("base", rows.select("rid", "text").join(least, "rid", "left_semi").dropDuplicates(["rid"]))
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - SLACK
@@ -113,12 +130,7 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
         """Adds the links among the pairs; component of every node that has a link so far."""
         tag = f"links-{len(found)}"
         pairs = st.put(f"pairs-{tag}", pairs.select("a", "b").distinct())
-        usual = spark.conf.get(BATCH_CONF)
-        spark.conf.set(BATCH_CONF, str(SET_ROWS))
-        try:
-            found.append(st.put(tag, proved(pairs, base, k, similarity)))
-        finally:
-            spark.conf.set(BATCH_CONF, usual)
+        found.append(st.put(tag, proved(pairs, base, k, similarity), SET_ROWS))
         st.drop(f"pairs-{tag}")
         every = found[0]
         for more in found[1:]:
@@ -127,15 +139,20 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
 
     prints = st.put("prints", fingerprints(base.withColumn("doc_id", F.col("rid"))).select("rid", "fp"))
     distinct = st.put("distinct", prints.groupBy("fp").agg(F.min("rid").alias("node")))
-    near = links(st, distinct.select("node", "fp"))
+    near = links(st, distinct.select("fp"))
+    of = lambda c: distinct.select(F.col("fp").alias(f"{c}_fp"), F.col("node").alias(c))
+    near = near.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")
     equal = prints.join(distinct, "fp").filter("rid <> node").select(F.col("node").alias("a"), F.col("rid").alias("b"))
     roots = prove(near.unionByName(equal))
-    st.drop("variants", "near", "star", "crowd", "prints", "distinct")
-
-    none = spark.sparkContext.broadcast(np.zeros(0, np.uint64))
-    many = prefixes(base, none, k, similarity).groupBy("h").count().filter(F.col("count") > BUCKET).orderBy(F.desc("count"), "h").limit(HOT)
-    hot = spark.sparkContext.broadcast(np.sort(many.select("h").toArrow().column("h").to_numpy().view(np.uint64)))
-    heads = st.put("heads", prefixes(base, hot, k, similarity))
+    st.drop("near", "star", "crowd", "prints", "distinct")
+
+    counted = lambda data: (h[: np.searchsorted(h, COUNTED)] for h in (shingles(x, k) for x in data))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = width(size / 6 / 2, MAX_BITS)  # about 6 bytes a word, half of the shingles
+    with setting(spark, BATCH_CONF, str(TEXT_ROWS)):
+        bitmaps = spark.sparkContext.broadcast(sketch(base, counted, bits, (HOT, 2)))
+    heads = st.put("heads", prefixes(base, bitmaps, bits, k, similarity), TEXT_ROWS)
+    bitmaps.unpersist()
     size = heads.groupBy("h").count().filter("count > 1")
     shared = st.put("shared", heads.join(size, "h"))
     st.drop("heads")

@@ -3,22 +3,18 @@
 A window is `length` consecutive words.  Each word covered by a window whose words also start earlier
 (smaller doc_id, or earlier in the same document) is removed.
 
-1. Every partition counts the anchors of its windows (see windows.py) in a count-min sketch: `depth`
-   rows of `width` cells that saturate at 2.  An anchor's count is never below that of a window it
-   stands for, so the sketch overestimates window counts.  Sketches travel as sorted, delta-coded cell
-   lists dealt by cell range, are summed per range, and come back as one bitmap of cells that reached 2.
+1. Every partition counts the anchors of its windows (see windows.py) in a count-min sketch (sketch.py).  An
+   anchor's count is never below that of a window it stands for, so merged sketches overestimate window counts.
 2. A second pass over the texts lets pass only runs whose anchor the merged sketch calls repeated, and
-   groups those exactly.  Nothing repeated is lost: its cells all reached 2.
+   groups those exactly, by a 128-bit BLAKE2 digest of their words.  Nothing repeated is lost: its cells all reached 2.
 
-The bitmap has depth * width bits whatever the corpus (32 MB at most); width follows the number of words
+The bitmap has 2**`max_bits` bits at most whatever the corpus; its width follows the number of words
 up to that bound.  A fuller sketch lets more single windows pass to the exact grouping, nothing else.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +22,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import windows as W
-from llm.common import Stages, chunks, keyed, small_batches, texts
+from llm.common import BATCH_CONF, RID, Stages, chunks, keyed, setting, small_batches, texts
+from llm.sketch import reached, sketch, width
 
 LENGTH, GRAM = 20, 5
-DEPTH, MAX_BITS = 2, 28
-#: Cell ranges of the sketch that are summed apart.
-RANGES = 64
-RUNS = "rid long, start int, stop int, anchor int, kh long, sh long"
+MAX_BITS = 28
+#: Rows of an Arrow batch of texts.
+TEXT_ROWS = 500
+RUNS = f"rid {RID}, start int, stop int, anchor int, kh long, d1 long, d2 long"
+RUN_NAMES = ["rid", "start", "stop", "anchor", "kh", "d1", "d2"]
 
 
-def _cells(anchor_hash: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (W.mix(anchor_hash + np.uint64((row + 1) * int(W.MIX) % 2**64)) >> np.uint64(64 - bits)) + (np.uint64(row) << np.uint64(bits))
+class Line:
+    """The words of a text joined by single spaces, and where they lie."""
+
+    def __init__(self, text: bytes):
+        starts, ends = W.word_bounds(text)
+        self.text = b" ".join([text[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        stop = np.cumsum(ends - starts + 1) - 1
+        self.begin, self.end = np.r_[0, stop[:-1] + 1], stop
+
+    def digests(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """Of the words [a, b)."""
+        return W.digests(self.text, self.begin[a], self.end[b - 1])
 
 
 def _runs_of(data: list[bytes], length: int, k: int):
@@ -45,92 +53,48 @@ def _runs_of(data: list[bytes], length: int, k: int):
         yield r["doc"] + part.start, r
 
 
-def sketch(docs: DataFrame, length: int, k: int, bits: int) -> bytes:
-    """Bitmap of the cells that are hit twice or more, from merged partition sketches."""
-    per = (DEPTH << bits) // RANGES
-
-    def flush(held: list[np.ndarray]):
-        cell, n = np.unique(np.concatenate(held), return_counts=True)
-        edge = np.searchsorted(cell, np.arange(RANGES + 1) * per)
-        out = {"part": [], "cells": []}
-        for p in range(RANGES):
-            c, m = cell[edge[p] : edge[p + 1]], n[edge[p] : edge[p + 1]]
-            if len(c):
-                c = np.repeat(c - np.uint64(p * per), np.minimum(m, 2)).astype(np.int64)
-                out["part"].append(p)
-                out["cells"].append(zlib.compress(np.diff(c, prepend=0).astype(np.uint32).tobytes(), 1))
-        return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), ("cells", pa.binary())]))
-
-    def count(batches):
-        held, size = [], 0
-        for batch in batches:
-            for _, r in _runs_of(texts(batch), length, k):
-                held += [_cells(r["anchor_hash"], row, bits) for row in range(DEPTH)]
-                size += DEPTH * len(r["anchor_hash"])
-                if size > 4_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def add(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A range's sketches are added one after another: memory is one range whatever the partitions.
-        total = np.zeros(per, np.uint8)
-        for batch in batches:
-            for x in batch.column("cells").to_pylist():
-                c = np.cumsum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64))
-                hit, n = np.unique(c, return_counts=True)
-                total[hit] = np.minimum(total[hit] + n, 2)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([keys[0].as_py()], pa.int32()), "bits": [zlib.compress(np.packbits(total >= 2).tobytes(), 1)]})
-
-    parts = docs.select("text").mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, bits binary").collect()
-    whole = bytearray((DEPTH << bits) // 8)
-    for part, x in parts:
-        whole[part * per // 8 : (part + 1) * per // 8] = zlib.decompress(x)
-    return bytes(whole)
-
-
 def repeated_runs(docs: DataFrame, bitmap, length: int, k: int, bits: int) -> DataFrame:
     """Runs whose anchor the sketch calls repeated."""
 
     def scan(batches):
         seen = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
-            rid = batch.column("rid").to_numpy()
-            for doc, r in _runs_of(texts(batch), length, k):
-                keep = np.ones(len(doc), bool)
-                for row in range(DEPTH):
-                    cell = _cells(r["anchor_hash"], row, bits)
-                    keep &= (seen[cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                i32 = lambda c: pa.array(r[c][keep].astype(np.int32))
-                i64 = lambda c: pa.array(r[c][keep].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[doc[keep]]), i32("start"), i32("stop"), i32("anchor"), i64("anchor_hash"), i64("span_hash")], RUNS.replace(" long", "").replace(" int", "").split(", "))
+            rid, data = batch.column("rid"), texts(batch)
+            for doc, r in _runs_of(data, length, k):
+                keep = reached(r["anchor_hash"], seen, bits)
+                doc, r = doc[keep], {c: v[keep] for c, v in r.items()}
+                d = []
+                edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else [0]
+                for a, b in zip(edge, edge[1:]):  # the runs of a document lie together
+                    d += Line(data[doc[a]]).digests(r["start"][a:b], r["stop"][a:b] + length - 1)
+                d1, d2 = W.halves(d)
+                i32 = lambda c: pa.array(r[c].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc)), i32("start"), i32("stop"), i32("anchor"), pa.array(r["anchor_hash"].view(np.int64)), d1, d2], RUN_NAMES)
 
     return docs.select("rid", "text").mapInArrow(scan, RUNS)
 
 
 def open_windows(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """Single windows of the given runs: rid, start, kh, off, wh."""
+    """Single windows of the given runs: rid, start, kh, off, d1, d2."""
     wanted = reps.groupBy("rid").agg(F.collect_list(F.struct("start", "stop", "anchor", "kh")).alias("runs"))
 
     def look(batches):
         for batch in batches:
-            cols = [[], [], [], [], []]
-            data, rids, lists = texts(batch), batch.column("rid").to_pylist(), batch.column("runs").to_pylist()
-            for x, rid, runs in zip(data, rids, lists):
-                h = W.Hashes(W.word_symbols(x)[0])
+            row, start, kh, off, d = [], [], [], [], []
+            for i, (x, runs) in enumerate(zip(texts(batch), batch.column("runs").to_pylist())):
                 n = np.array([r["stop"] - r["start"] for r in runs])
                 nth = np.repeat(np.arange(len(runs)), n)
                 at = np.concatenate([np.arange(r["start"], r["stop"]) for r in runs])
-                cols[0].append(np.full(len(at), rid))
-                cols[1].append(at.astype(np.int32))
-                cols[2].append(np.array([r["kh"] for r in runs])[nth])
-                cols[3].append((np.array([r["anchor"] for r in runs])[nth] - at).astype(np.int32))
-                cols[4].append(h.of(at, at + length).view(np.int64))
-            if data:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["rid", "start", "kh", "off", "wh"])
+                row.append(np.full(len(at), i))
+                start.append(at.astype(np.int32))
+                kh.append(np.array([r["kh"] for r in runs])[nth])
+                off.append((np.array([r["anchor"] for r in runs])[nth] - at).astype(np.int32))
+                d += Line(x).digests(at, at + length)
+            if row:
+                whole = [pa.array(np.concatenate(c)) for c in (row, start, kh, off)]
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(whole[0]), *whole[1:], *W.halves(d)], ["rid", "start", "kh", "off", "d1", "d2"])
 
-    return docs.select("rid", "text").join(wanted, "rid").mapInArrow(look, "rid long, start int, kh long, off int, wh long")
+    return docs.select("rid", "text").join(wanted, "rid").mapInArrow(look, f"rid {RID}, start int, kh long, off int, d1 long, d2 long")
 
 
 def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -149,12 +113,11 @@ def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
                 out["n_removed"].append(len(words) - len(stay))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept)
-            schema = pa.schema([("rid", rid.type), ("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-            out["kept"] = pa.array(out["kept"], pa.binary())
-            yield pa.RecordBatch.from_arrays([rid, ids, *(pa.array(out[c], schema.field(c).type) for c in out)], schema=schema)
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([rid, ids, *(pa.array(out[c], k) for c, k in zip(out, kinds))], ["rid", "doc_id", *out])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(cut, f"rid long, doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary")
+    out = docs.join(spans, "rid", "left").select("rid", "doc_id", "text", "spans").mapInArrow(cut, f"rid {RID}, doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
@@ -163,26 +126,31 @@ def cut_repeats(spark: SparkSession, rows: DataFrame, length: int = LENGTH, gram
     small_batches(spark)
     rows, st = rows.select("rid", "doc_id", "text"), Stages(spark, "substrings")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About 6 bytes a word, 2 / (length - gram + 2) anchors a word; eight cells for each.
-    anchors = size / 6 * 2 / (length - gram + 2)
-    bits = min(max_bits, max(16, int(np.ceil(np.log2(8 * anchors + 1)))))
-    bits -= DEPTH.bit_length() - 1
-    bitmap = spark.sparkContext.broadcast(sketch(rows, length, gram, bits))
-    runs = st.put("runs", repeated_runs(rows, bitmap, length, gram, bits))
+    # About 6 bytes a word, 2 / (length - gram + 2) anchors a word.
+    bits = width(size / 6 * 2 / (length - gram + 2), max_bits)
+    with setting(spark, BATCH_CONF, str(TEXT_ROWS)):
+        bitmap = spark.sparkContext.broadcast(sketch(rows, lambda data: (r["anchor_hash"] for _, r in _runs_of(data, length, gram)), bits)[0])
+    runs = st.put("runs", repeated_runs(rows, bitmap, length, gram, bits), TEXT_ROWS)
+    bitmap.unpersist()
+    same = ["kh", "d1", "d2"]
     first = F.min(F.struct("rid", "start", "stop", "anchor")).alias("rep")
-    classes = st.put("classes", runs.groupBy("kh", "sh").agg(first, F.count("*").alias("n")).select("kh", "sh", "n", "rep.*"))
-    later = classes.filter("n > 1").select("kh", "sh", F.col("rid").alias("rep_rid"), F.col("start").alias("rep_start"))
+    classes = st.put("classes", runs.groupBy(*same).agg(first, F.count("*").alias("n")).select(*same, "n", "rep.*"))
+    later = classes.filter("n > 1").select(*same, F.col("rid").alias("rep_rid"), F.col("start").alias("rep_start"))
     end = (F.col("stop") + (length - 1)).alias("stop")
-    whole = runs.join(later, ["kh", "sh"]).filter("rid <> rep_rid or start <> rep_start").select("rid", "start", end)
+    # both sides are shuffled, so AQE splits a class that fills a task
+    whole = runs.join(later, same).filter("rid <> rep_rid or start <> rep_start").select("rid", "start", end)
     st.put("whole", whole)
+    st.drop("runs")
     contested = classes.groupBy("kh").count().filter("count > 1").select("kh")
     reps = classes.join(contested, "kh", "left_semi").select("rid", "start", "stop", "anchor", "kh")
-    opened = st.put("opened", open_windows(rows, reps, length))
-    earliest = opened.groupBy("kh", "off", "wh").agg(F.min(F.struct("rid", "start")).alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    earliest = earliest.select("kh", "off", "wh", F.col("rep.rid").alias("rep_rid"), F.col("rep.start").alias("rep_start"))
-    single = opened.join(earliest, ["kh", "off", "wh"]).filter("rid <> rep_rid or start <> rep_start").select("rid", "start", (F.col("start") + length).alias("stop"))
+    opened = st.put("opened", open_windows(rows, reps, length), TEXT_ROWS)
+    st.drop("classes")
+    same = ["kh", "off", "d1", "d2"]
+    earliest = opened.groupBy(*same).agg(F.min(F.struct("rid", "start")).alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    earliest = earliest.select(*same, F.col("rep.rid").alias("rep_rid"), F.col("rep.start").alias("rep_start"))
+    single = opened.join(earliest, same).filter("rid <> rep_rid or start <> rep_start").select("rid", "start", (F.col("start") + length).alias("stop"))
     st.put("single", single)
-    st.drop("runs", "classes", "opened")
+    st.drop("opened")
     return remove(rows, st.get("whole").unionByName(st.get("single")))
 
 

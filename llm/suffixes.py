@@ -2,19 +2,20 @@
 
 Every byte covered by a `length`-byte string that also starts anywhere else is removed.
 
-The corpus comes in batches.  A batch gets a sparse suffix array: the suffixes at the anchors of its
-windows (windows.py), about one in 70 bytes, in the order of (anchor hash, span hash), bucketed
-by that key.  Adjacent entries of equal key share a whole run of windows, so they match for `length`
-bytes and more.  Entries are ordered by hashes of what they start with, not by the bytes themselves: all that is asked
-of neighbours is whether they are equal over a run.
-
-A level is one such array.  A new batch is merge-scanned against the levels of its own size: both are
-bucketed and sorted alike, so the scan is a merge without a shuffle; two equal-sized arrays become one of twice
-the size and move up a level (the logarithmic method).  Every entry is thus rewritten O(log batches) times.
-A merged entry keeps its first occurrence and how often it occurs.  At the end the levels left are merged.
-
-Runs that repeat as a whole are then known.  At the edges of a match an anchor hash has several span
-hashes.  There the windows of one run per class are dealt in blocks of 8 neighbouring offsets: the
+The corpus comes in batches.  A batch gets a sparse suffix array: the suffixes at the anchors of its windows
+(windows.py), about one in 70 bytes, as far as `depth` bytes, in the order of their bytes within buckets of the first
+`gram` bytes.  Equal suffixes are one entry with a count.  An entry also knows the longest prefix that it shares with any other suffix
+(`lcp`: that with a neighbour in the order) and the shortest that would matter (`need`: the bytes that a
+window has behind its anchor).
+
+A new batch is merge-scanned against every level there is: two arrays of one layout are merged bucket by bucket without a
+shuffle, and neighbours are compared byte by byte.  With a level of its own size it becomes one array of twice
+the size, which moves up a level (the logarithmic method): every entry is rewritten O(log batches) times, and every pair of batches
+has met when the later was added.  Entries whose lcp reaches their need are *live*.
+
+Only runs of windows at live suffixes can repeat; the bytes before the anchor decide, and are settled exactly.  Runs are classed by a
+128-bit digest of all their bytes; a class of several repeats as a whole.  At the edges of a match an anchor has several
+classes.  There the windows of one run per class are dealt in blocks of 8 neighbouring offsets: the
 bytes that all 8 share (the core) must repeat for any of them to repeat; the 7 bytes on either
 side, held in full, tell which of the 8 do.  Blocks that are equal in all repeat as a whole, so only those at an edge are opened.
 """
@@ -29,87 +30,233 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import windows as W
-from llm.common import Stages, chunks, keyed, small_batches, texts
+from llm.common import BATCH_CONF, CLEAN_CONF, RID, Stages, chunks, keyed, setting, small_batches, texts
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, DEPTH = 200, 32, 64
 #: Batches the corpus is dealt in; a real feed brings its own.
 BATCHES = 4
 BLOCK = 8
-RUNS = "rid long, start int, stop int, anchor int, kh long, sh long"
-NAMES = ["rid", "start", "stop", "anchor", "kh", "sh"]
+#: Rows of an Arrow batch of index entries (or of the texts they come from), and of texts.
+ENTRY_ROWS, TEXT_ROWS = 2000, 500
+#: Off while levels meet: Spark would drop the buckets again after it has dropped the shuffle that they make needless.
+UNION_CONF = "spark.sql.unionOutputPartitioning"
+BUCKET_CONF = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+ENTRY = "kh long, suffix binary, n long, need int, lcp int"
+ENTRY_NAMES = ["kh", "suffix", "n", "need", "lcp"]
 
 
-def suffix_runs(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """The anchored runs of all windows: what the suffix arrays index."""
+def _binary(m: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The first size bytes of each row."""
+    data = m[np.arange(m.shape[1]) < size[:, None]].tobytes()
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def _matrix(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes padded with zeros, and their lengths."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.diff(ends)
+    out = np.zeros((len(column), depth), np.uint8)
+    out[np.arange(depth) < size[:, None]] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(column) else 0
+    return out, size
+
+
+def suffixes(docs: DataFrame, length: int, k: int, depth: int) -> DataFrame:
+    """The suffixes at the anchors of all windows: kh, suffix, n, need, lcp (0).  Equal ones of a few texts are one row already."""
 
     def scan(batches):
         for batch in batches:
-            rid, data = batch.column("rid").to_numpy(), texts(batch)
+            data = texts(batch)
             for part in chunks(data):
-                r = W.all_runs([W.byte_symbols(data[i]) for i in part], length, k)
-                i32 = lambda c: pa.array(r[c].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(rid[r["doc"] + part.start]), i32("start"), i32("stop"), i32("anchor"), pa.array(r["anchor_hash"].view(np.int64)), pa.array(r["span_hash"].view(np.int64))], NAMES)
+                some = [data[i] for i in part]
+                r = W.all_runs([W.byte_symbols(x) for x in some], length, k)
+                if not len(r["doc"]):
+                    continue
+                begin = np.cumsum([0, *map(len, some)])[r["doc"]]
+                size = np.minimum(depth, r["stop"] + length - 1 - r["anchor"])
+                flat = np.r_[np.frombuffer(b"".join(some), np.uint8), np.zeros(depth, np.uint8)]
+                m = flat[(begin + r["anchor"])[:, None] + np.arange(depth)]
+                m[np.arange(depth) >= size[:, None]] = 0
+                # the same key may hide other bytes: those stay rows of their own
+                key = W.mix(r["anchor_hash"] + W.mix(W.Hashes(m[:, k:].astype(np.uint64).ravel() + np.uint64(1)).of(*_ends(len(m), depth - k)) + size.astype(np.uint64)))
+                _, first, of = np.unique(key, return_index=True, return_inverse=True)
+                odd = (m != m[first[of]]).any(axis=1) | (size != size[first[of]])
+                n, need = np.bincount(of[~odd], minlength=len(first)), np.full(len(first), length)
+                np.minimum.at(need, of[~odd], (length - r["anchor"] + r["start"])[~odd])
+                at = np.r_[first, np.flatnonzero(odd)]
+                n, need = np.r_[n, np.ones(odd.sum(), np.int64)], np.r_[need, (length - r["anchor"] + r["start"])[odd]]
+                yield pa.RecordBatch.from_arrays([pa.array(r["anchor_hash"][at].view(np.int64)), _binary(m[at], size[at]), pa.array(n), pa.array(need.astype(np.int32)), pa.array(np.zeros(len(at), np.int32))], ENTRY_NAMES)
+
+    return docs.select("text").mapInArrow(scan, ENTRY)
+
+
+def _ends(n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    a = np.arange(n) * width
+    return a, a + width
+
+
+def neighbours(entries: DataFrame, depth: int) -> DataFrame:
+    """Entries in the order of (kh, suffix) within each partition, equal suffixes as one, with the longest prefix shared with a neighbour.
+
+    A partition streams by; only the last entry waits for the next.
+    """
 
-    return docs.select("rid", "text").mapInArrow(scan, RUNS)
+    def scan(batches):
+        held = None  # matrix row, size, kh, n, need, lcp of the last entry so far
 
+        def batch_of(kh, m, size, n, need, lcp):
+            lcp = np.where(n > 1, size, lcp)
+            return pa.RecordBatch.from_arrays([pa.array(kh), _binary(m, size), pa.array(n), pa.array(need.astype(np.int32)), pa.array(lcp.astype(np.int32))], ENTRY_NAMES)
 
-def _merge(entries: DataFrame) -> DataFrame:
-    """One entry for each key: its first occurrence and the number of all."""
-    out = entries.groupBy("kh", "sh").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    return out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, size = _matrix(batch.column("suffix"), depth)
+            kh, n, need, lcp = (batch.column(c).to_numpy().astype(np.int64) for c in ("kh", "n", "need", "lcp"))
+            if held is not None:
+                m, size, kh, n, need, lcp = (np.concatenate([a, b]) for a, b in zip(held, (m, size, kh, n, need, lcp)))
+            differ = m[1:] != m[:-1]
+            same = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+            same = np.minimum(same, np.minimum(size[1:], size[:-1]))
+            new = np.r_[True, (same < size[1:]) | (same < size[:-1]) | (kh[1:] != kh[:-1])]
+            first = np.flatnonzero(new)
+            n, need, lcp = np.add.reduceat(n, first), np.minimum.reduceat(need, first), np.maximum.reduceat(lcp, first)
+            between = same[first[1:] - 1]
+            lcp[1:] = np.maximum(lcp[1:], between)
+            lcp[:-1] = np.maximum(lcp[:-1], between)
+            m, size, kh = m[first], size[first], kh[first]
+            if len(first) > 1:
+                yield batch_of(*(x[:-1] for x in (kh, m, size, n, need, lcp)))
+            held = tuple(x[-1:] for x in (m, size, kh, n, need, lcp))
+        if held is not None:
+            m, size, kh, n, need, lcp = held
+            yield batch_of(kh, m, size, n, need, lcp)
+
+    return entries.sortWithinPartitions("kh", "suffix").mapInArrow(scan, ENTRY)
 
 
 class Family:
-    """Levels of suffix arrays: parquet tables bucketed and sorted by the key, in powers of two of a batch."""
+    """Levels of suffix arrays: tables bucketed by the first bytes and sorted, in powers of two of a batch.
 
-    def __init__(self, stages: Stages, buckets: int):
-        self.stages, self.buckets, self.levels, self.made = stages, buckets, {}, 0
-        self.tag = "idx_" + stages.root.rsplit("-", 1)[-1]
+    add() takes a batch at any time; live() tells the suffixes that share enough with another of all batches so far.
+    """
+
+    def __init__(self, stages: Stages, length: int = LENGTH, gram: int = GRAM, depth: int = DEPTH):
+        self.stages, self.spark = stages, stages.spark
+        self.length, self.gram, self.depth = length, gram, depth
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, str] = {}
+        self.aligned: bool | None = None
+        self.scans: list[str] = []
+        self.made, self.tag = 0, "suffixes_" + stages.root.rsplit("-", 1)[-1]
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         name = f"{self.tag}_{self.made}"
-        df.write.bucketBy(self.buckets, "kh", "sh").sortBy("kh", "sh").option("path", self.stages.path(name)).format("parquet").saveAsTable(name)
+        with setting(self.spark, CLEAN_CONF, "true"), setting(self.spark, BATCH_CONF, str(ENTRY_ROWS)):
+            df.select("*").write.bucketBy(self.buckets, "kh").sortBy("kh", "suffix").option("path", self.stages.path(name)).option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.stages.spark.sql(f"drop table {name}")
+        self.spark.sql(f"drop table if exists {name}")
         self.stages.drop(name)
 
-    def add(self, runs: DataFrame) -> None:
-        """Index a batch; merge with the level of its size as long as there is one."""
-        entries = runs.select("kh", "sh", F.lit(1).cast("long").alias("n"), F.struct("rid", "start", "stop", "anchor").alias("first"))
-        new, size = self._write(_merge(entries)), 1
-        while size in self.levels:
-            new, size = self._join(new, self.levels.pop(size)), 2 * size
+    def _merged(self, a: str, b: str) -> DataFrame:
+        """Both arrays as one.  Equal buckets meet as they lie, and the repartition is void; where Spark sees no buckets, it shuffles.
+
+        The filter keeps Spark from a columnar union, which loses the buckets that it says it has.  Should a union lose them all the
+        same, it shows more partitions than buckets, and all merges shuffle.
+        """
+        sides = [self.spark.table(t).filter("n > 0") for t in (a, b)]
+        both = neighbours(sides[0].unionByName(sides[1]).repartition(self.buckets, "kh"), self.depth)
+        if self.aligned is None:
+            self.aligned = both.rdd.getNumPartitions() == self.buckets
+        if not self.aligned:
+            self.spark.conf.set(UNION_CONF, "false")  # add() restores it
+            both = neighbours(sides[0].unionByName(sides[1]).repartition(self.buckets, "kh"), self.depth)
+        return both
+
+    def _live(self, entries: DataFrame) -> DataFrame:
+        return entries.filter(F.col("lcp") >= F.least("need", F.lit(self.depth)))
+
+    def add(self, docs: DataFrame) -> None:
+        """Index a batch (text): scan it against every level, merging with those of equal size."""
+        with setting(self.spark, BUCKET_CONF, "false"), setting(self.spark, UNION_CONF, "true"):
+            self._add(docs)
+
+    def _add(self, docs: DataFrame) -> None:
+        dealt = suffixes(docs, self.length, self.gram, self.depth).repartition(self.buckets, "kh")
+        batch = new = self._write(neighbours(dealt, self.depth))
+        size = 1
+        for level in sorted(self.levels):
+            old = self.levels[level]
+            if level == size:
+                merged = self._write(self._merged(new, old))
+                del self.levels[level]
+                self._drop(old)
+                if new != batch:
+                    self._drop(new)
+                new, size = merged, 2 * size
+            else:
+                self.scans.append(f"scan_{self.made}_{level}")
+                self.stages.put(self.scans[-1], self._live(self._merged(batch, old)), ENTRY_ROWS)
+        if new != batch:
+            self._drop(batch)
         self.levels[size] = new
 
-    def _join(self, a: str, b: str) -> str:
-        """Merge-scan of two arrays, bucket by bucket: matches add up, the rest is kept."""
-        x, y = (self.stages.spark.table(t).select("kh", "sh", F.col("n").alias(f"n{i}"), F.col("first").alias(f"first{i}")) for i, t in enumerate((a, b)))
-        both = x.hint("merge").join(y, ["kh", "sh"], "full").select("kh", "sh", (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"), F.least("first0", "first1").alias("first"))
-        new = self._write(both)
-        self._drop(a)
-        self._drop(b)
-        return new
-
-    def whole(self) -> DataFrame:
-        """All levels as one."""
-        while len(self.levels) > 1:
-            (s, a), (t, b) = sorted(self.levels.items())[:2]
-            del self.levels[s], self.levels[t]
-            self.levels[s + t] = self._join(a, b)
-        return self.stages.spark.table(next(iter(self.levels.values()))).select("kh", "sh", "n", "first.*")
+    def live(self) -> DataFrame:
+        """kh, sx (hash of the suffix), lcp of all live suffixes."""
+
+        def name(batches):
+            for batch in batches:
+                s = batch.column("suffix").cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column("kh"), _short(s), batch.column("lcp")], ["kh", "sx", "lcp"])
+
+        parts = [self._live(self.spark.table(t)) for t in self.levels.values()] + [self.stages.get(s) for s in self.scans]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return every.mapInArrow(name, "kh long, sx long, lcp int").groupBy("kh", "sx").agg(F.max("lcp").alias("lcp"))
 
     def drop(self) -> None:
         for name in self.levels.values():
             self._drop(name)
+        for i in range(self.made):  # what a failed call has left
+            self.spark.sql(f"drop table if exists {self.tag}_{i + 1}")
+        self.stages.drop(*self.scans)
+        self.levels, self.scans = {}, []
+
+
+def _short(found: list[bytes]) -> pa.Array:
+    blake = hashlib.blake2b
+    return pa.array(np.frombuffer(b"".join([blake(x, digest_size=8).digest() for x in found]), "<i8"))
+
+
+def suffix_runs(docs: DataFrame, length: int, k: int, depth: int) -> DataFrame:
+    """The anchored runs of all windows, each with the hash of its suffix (sx) and a digest of all its bytes (d1, d2)."""
+
+    def scan(batches):
+        for batch in batches:
+            rid, data = batch.column("rid"), texts(batch)
+            for part in chunks(data):
+                r = W.all_runs([W.byte_symbols(data[i]) for i in part], length, k)
+                end = r["stop"] + length - 1
+                sx, d = [], []
+                for i, a, b, at in zip((r["doc"] + part.start).tolist(), r["start"].tolist(), end.tolist(), r["anchor"].tolist()):
+                    x = data[i]
+                    sx.append(x[at : min(at + depth, b)])
+                    d.append(hashlib.blake2b(x[a:b], digest_size=16).digest())
+                i32 = lambda c: pa.array(r[c].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([rid.take(pa.array(r["doc"] + part.start)), i32("start"), i32("stop"), i32("anchor"), pa.array(r["anchor_hash"].view(np.int64)), _short(sx), *W.halves(d)], ["rid", "start", "stop", "anchor", "kh", "sx", "d1", "d2"])
+
+    return docs.select("rid", "text").mapInArrow(scan, f"rid {RID}, start int, stop int, anchor int, kh long, sx long, d1 long, d2 long")
 
 
 def edge_blocks(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
     """The windows of the given runs in blocks of neighbouring offsets.
 
-    key: hash of anchor, block and core.  left, right: the bytes beside the core, next to it first.
+    k1, k2: digest of anchor, block and core.  left, right: the bytes beside the core, next to it first.
     lo, hi: the places in the block (0: the window that starts with the core) that the run has.  at: the
     core's start.
     """
@@ -122,10 +269,11 @@ def edge_blocks(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
         return np.where(ok, b[np.clip(i, 0, len(b) - 1)], 0).astype(np.int64) @ weight
 
     def look(batches):
+        blake = hashlib.blake2b
         for batch in batches:
-            out = []
-            for x, rid, runs in zip(texts(batch), batch.column("rid").to_pylist(), batch.column("runs").to_pylist()):
-                b, h = np.frombuffer(x, np.uint8), W.Hashes(W.byte_symbols(x))
+            out, keys = [], []
+            for row, (x, runs) in enumerate(zip(texts(batch), batch.column("runs").to_pylist())):
+                b = np.frombuffer(x, np.uint8)
                 start, stop, anchor, kh = (np.array([r[c] for r in runs], np.int64) for c in ("start", "stop", "anchor", "kh"))
                 least, most = anchor - stop + 1, anchor - start  # offsets of the anchor in its windows
                 n = most // BLOCK - least // BLOCK + 1
@@ -134,15 +282,15 @@ def edge_blocks(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
                 at = anchor[nth] - block * BLOCK
                 stop_at = at - (BLOCK - 1) + length
                 lo, hi = np.maximum(0, least[nth] - block * BLOCK), np.minimum(BLOCK - 1, most[nth] - block * BLOCK)
-                core = h.of(np.maximum(at, 0), np.minimum(stop_at, len(b)))
-                key = W.mix(kh[nth].view(np.uint64) + W.mix(core + block.astype(np.uint64)))
-                out.append((np.full(len(nth), rid), at, key.view(np.int64), side(b, at - 1, -1), side(b, stop_at, 1), lo, hi))
+                head = np.stack([kh[nth], block], axis=1).astype("<i8").tobytes()
+                keys += [blake(head[16 * j : 16 * j + 16] + x[i:e], digest_size=16).digest() for j, (i, e) in enumerate(zip(np.maximum(at, 0).tolist(), stop_at.tolist()))]
+                out.append((np.full(len(nth), row), at, side(b, at - 1, -1), side(b, stop_at, 1), lo, hi))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["rid", "at", "key", "left", "right", "lo", "hi"])
+                row, at, left, right, lo, hi = (pa.array(np.concatenate(c)) for c in zip(*out))
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(row), at, *W.halves(keys), left, right, lo, hi], ["rid", "at", "k1", "k2", "left", "right", "lo", "hi"])
 
-    shape = "rid long, at long, key long, left long, right long, lo long, hi long"
-    out = docs.select("rid", "text").join(wanted, "rid").mapInArrow(look, shape)
-    return out.select("rid", F.col("at").cast("int"), "key", "left", "right", F.col("lo").cast("byte"), F.col("hi").cast("byte"))
+    out = docs.select("rid", "text").join(wanted, "rid").mapInArrow(look, f"rid {RID}, at long, k1 long, k2 long, left long, right long, lo long, hi long")
+    return out.select("rid", F.col("at").cast("int"), "k1", "k2", "left", "right", F.col("lo").cast("byte"), F.col("hi").cast("byte"))
 
 
 def edge_marks(st: Stages, blocks: DataFrame, length: int) -> DataFrame:
@@ -151,17 +299,19 @@ def edge_marks(st: Stages, blocks: DataFrame, length: int) -> DataFrame:
     Equal blocks (core, sides and places) are a class and repeat as a whole.  Where a key has several classes, those
     that occur once are held against one of each other class, window by window.
     """
-    shape = ["key", "left", "right", "lo", "hi"]
+    key = ["k1", "k2"]
+    shape = [*key, "left", "right", "lo", "hi"]
     classes = st.put("block_classes", blocks.groupBy(*shape).agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("first")))
     alike = classes.filter("n > 1").select(*shape)
     st.put("block_marks", blocks.join(alike, shape).selectExpr("rid", "at - hi as start", f"at - lo + {length} as stop"))
-    several = classes.groupBy("key").count().filter("count > 1").select("key")
-    low = lambda c, n: f"cast({c} & (shiftleft(1L, cast(8 * ({n}) as int)) - 1) as bigint)"
-    opened = classes.join(several, "key", "left_semi").withColumn("j", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))))
-    opened = opened.selectExpr("if(n = 1, first.rid, null) as rid", "first.at - j as start", "key", f"xxhash64(j, {low('left', 'j')}, {low('right', f'{BLOCK - 1} - j')}) as window")
+    several = classes.groupBy(*key).count().filter("count > 1").select(*key)
+    low = lambda c, n: f"{c} & (shiftleft(1L, cast(8 * ({n}) as int)) - 1)"
+    opened = classes.join(several, key, "left_semi").withColumn("j", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))))
+    opened = opened.selectExpr("if(n = 1, first.rid, null) as rid", "first.at - j as start", *key, "j", f"{low('left', 'j')} as l", f"{low('right', f'{BLOCK - 1} - j')} as r")
     opened = st.put("opened", opened)
-    twice = opened.groupBy("key", "window").count().filter("count > 1").select("key", "window")
-    st.put("window_marks", opened.filter("rid is not null").join(twice, ["key", "window"]).selectExpr("rid", "start", f"start + {length} as stop"))
+    window = [*key, "j", "l", "r"]
+    twice = opened.groupBy(*window).count().filter("count > 1").select(*window)
+    st.put("window_marks", opened.filter("rid is not null").join(twice, window).selectExpr("rid", "start", f"start + {length} as stop"))
     st.drop("opened", "block_classes")
     return st.get("block_marks").unionByName(st.get("window_marks"))
 
@@ -187,7 +337,7 @@ def remove(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return docs.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape)
 
 
-def dedup_suffixes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def dedup_suffixes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     Null texts are empty.  Texts below `length` bytes are never touched.  Cuts may fall inside a code point, so
@@ -197,19 +347,28 @@ def dedup_suffixes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     """
     small_batches(spark)
     rows, st = keyed(docs), Stages(spark, "suffixes")
-    runs = st.put("runs", suffix_runs(rows, length, gram))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    family = Family(st, buckets)
-    for b in range(batches):
-        family.add(runs.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b))
-    index = family.whole()
-    again = index.filter("n > 1").select("kh", "sh")
-    st.put("whole", runs.join(again, ["kh", "sh"]).select("rid", "start", (F.col("stop") + (length - 1)).alias("stop")))
-    contested = index.groupBy("kh").count().filter("count > 1").select("kh")
-    reps = st.put("reps", index.join(contested, "kh", "left_semi").select("rid", "start", "stop", "anchor", "kh"))
-    family.drop()
+    family = Family(st, length, gram, depth)
+    try:
+        for b in range(batches):
+            family.add(rows.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == b))
+        live = st.put("live", family.live(), ENTRY_ROWS)
+    finally:
+        family.drop()
+    # windows whose bytes behind the anchor go beyond the longest shared prefix can't repeat
+    reach = F.when(F.col("lcp") >= depth, F.col("stop")).otherwise(F.least("stop", F.col("lcp") - length + F.col("anchor") + 1))
+    runs = suffix_runs(rows, length, gram, depth).join(live, ["kh", "sx"]).withColumn("reach", reach).filter("reach > start")
+    runs = st.put("runs", runs.select("rid", "start", "stop", "anchor", "reach", "kh", "d1", "d2"), TEXT_ROWS)
+    st.drop("live")
+    same = ["kh", "d1", "d2"]
+    classes = st.put("classes", runs.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "reach", "anchor")).alias("first")))
+    # both sides are shuffled, so AQE splits a class that fills a task
+    again = classes.filter("n > 1").select(*same)
+    st.put("whole", runs.join(again, same).select("rid", "start", (F.col("stop") + (length - 1)).alias("stop")))
     st.drop("runs")
-    blocks = st.put("blocks", edge_blocks(rows, reps, length))
+    contested = classes.groupBy("kh").count().filter("count > 1").select("kh")
+    reps = classes.join(contested, "kh", "left_semi").select("first.rid", "first.start", F.col("first.reach").alias("stop"), "first.anchor", "kh")
+    blocks = st.put("blocks", edge_blocks(rows, reps, length), TEXT_ROWS)
+    st.drop("classes")
     marks = edge_marks(st, blocks, length)
-    st.drop("reps", "blocks")
+    st.drop("blocks")
     return remove(rows, st.get("whole").unionByName(marks))

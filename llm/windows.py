@@ -7,19 +7,21 @@ window would multiply the corpus, so windows are dealt in runs:
   choice depends on the window's own content only, so equal windows have equal anchors at equal
   offsets;
 * consecutive windows with one anchor form a *run* [start, stop) whose text is the *span*
-  [start, stop + L - 1).  A run is one row: (anchor hash, span hash, document, start, stop, offset).
+  [start, stop + L - 1).  A run is one row: (anchor hash, span digest, document, start, stop, offset).
 
-Two equal windows lie in runs of equal anchor hash.  Runs of equal (anchor, span) hash repeat as a
-whole and need no further look.  Where one anchor hash has several span hashes (the edges of a
+Two equal windows lie in runs of equal anchor hash.  Runs of equal (anchor, span) repeat as a
+whole and need no further look.  Where one anchor hash has several spans (the edges of a
 repeated passage) one run of each class is opened into single windows, keyed by
-(anchor hash, offset in the window, window hash).
+(anchor hash, offset in the window, window digest).
 
-All hashes are 64-bit; span and window hashes are compared only below an equal anchor hash, so a
-false match takes a collision of two independent hashes.
+Anchor hashes only choose and gather: two texts of one anchor hash are looked at together, no more.  What is called equal has
+equal 128-bit BLAKE2 digests of its bytes (or, in suffixes.py, of its bytes under an equal anchor).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -80,13 +82,12 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
     """The runs of a concatenation of documents (document d holds symbols [bounds[d], bounds[d + 1])).
 
     Returns arrays doc, start, stop (window starts, relative to the document), anchor (its start,
-    relative to the document), anchor_hash, span_hash.
+    relative to the document), anchor_hash.
     """
-    none = {c: np.zeros(0, np.int64) for c in ("doc", "start", "stop", "anchor")} | {c: np.zeros(0, np.uint64) for c in ("anchor_hash", "span_hash")}
+    none = {c: np.zeros(0, np.int64) for c in ("doc", "start", "stop", "anchor")} | {"anchor_hash": np.zeros(0, np.uint64)}
     if len(symbols) < length:
         return none
-    h = Hashes(symbols)
-    grams = h.grams(k)
+    grams = Hashes(symbols).grams(k)
     low = (1 << POSITION_BITS) - 1
     if len(grams) > low:
         raise ValueError("pieces must stay below 2**24 symbols")
@@ -104,7 +105,7 @@ def runs(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[s
     first, last = first[keep], last[keep]
     d, at = doc[first], least[first]
     return {"doc": d, "start": first - bounds[d], "stop": last - bounds[d], "anchor": at - bounds[d],
-            "anchor_hash": grams[at], "span_hash": h.of(first, last + length - 1)}
+            "anchor_hash": grams[at]}
 
 
 def pieces(sizes: np.ndarray, length: int, limit: int = PIECE):
@@ -141,6 +142,18 @@ def all_runs(arrays: list[np.ndarray], length: int, k: int) -> dict[str, np.ndar
     return {c: np.concatenate([r[c] for r in out]) for c in out[0]}
 
 
+def digests(data: bytes, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+    """128-bit digests of the stretches [a, b)."""
+    blake = hashlib.blake2b
+    return [blake(data[i:j], digest_size=16).digest() for i, j in zip(a.tolist(), b.tolist())]
+
+
+def halves(found: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """Digests as two columns of longs."""
+    both = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))
+
+
 def byte_symbols(data: bytes) -> np.ndarray:
     return BYTE_TABLE[np.frombuffer(data, np.uint8)]
 
