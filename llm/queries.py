@@ -90,7 +90,7 @@ x AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last, strlen(h) AS n FROM
 parts AS (SELECT *, regexp_extract(u, '^https?://(?:www[0-9]*\.)?([^/?#:]*)', 1) AS host, regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(u, '\?([^#]*)', 1) AS query FROM x)
 SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND last > page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND last > page_id THEN last END AS refers_to,
   array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS url_key,
-  strftime(make_timestamp((1704067200 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM parts
+  strftime(make_timestamp((1704067200 + page_id % 1000000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM parts
 """
 
 ORACLE = {"op3_embedding_dedup": EMBEDDING_SQL, "op8_substring_dedup": SUBSTRING_SQL, "op9_warc_index": WARC_SQL, "op4_temperature_mixing": MIXING_SQL}

@@ -2,11 +2,13 @@
 
 A record ends with CRLF CRLF, so the text sink writes a valid WARC file of records given as rows, on any
 file system Spark knows, with Spark's task commit: a task that runs again replaces its file.  Files are
-gzip streams.  Reading takes whole files, bounded by `per_file` records.
+gzip streams, one for each archive.  Reading takes whole files, one at a time, bounded in bytes: records go by size class, and an archive of
+larger records holds fewer, down to one.
 
 The index follows the external merge: each archive yields a run sorted by (URL key, timestamp, page);
 runs are dealt by key range, and within a range a loser tree merges the k run slices.  Ranges come from
-Spark's sampled range partitioning on the whole sort key, so the captures of one URL may span ranges.
+Spark's sampled range partitioning on the whole sort key, so the captures of one URL may span ranges; there are so many
+that a range holds about `PER_RANGE` records whatever their number.
 """
 
 from __future__ import annotations
@@ -24,7 +26,12 @@ from pyspark.sql import functions as F
 from llm.common import Stages, small_batches
 
 LEAST_REVISIT = 1000
-PER_FILE = 2000
+#: Records of an archive, of at most SMALL bytes each; of larger ones half as many for each doubling.
+PER_FILE, SMALL = 2000, 1 << 15
+#: Records that one task merges.
+PER_RANGE = 200_000
+#: Captures are dated by the second from here on, by page, over some thirty years.
+FIRST, SPAN = 1704067200, 10**9
 HEAD_END = b"\r\n\r\n"
 #: Record id: a URN that carries the page.
 URN = "urn:warc-page:"
@@ -45,7 +52,7 @@ def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    date = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(FIRST) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     block = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     record = F.concat(
@@ -60,7 +67,10 @@ def write_warc(records: DataFrame, path: str, per_file: int = PER_FILE) -> None:
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
-    records.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).mode("overwrite").text(path)
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.octet_length(block) / SMALL))).cast("int")
+    for c in sorted(r[0] for r in records.select(size.alias("c")).distinct().collect()) or [0]:  # 16 classes below 1 GB
+        some = records.filter(size == c).select(record.alias("value"))
+        some.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, per_file >> c)).mode("overwrite").text(f"{path}/class={c}")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview, int]]:
@@ -120,7 +130,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in READ.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(run, READ)
 
 
@@ -187,6 +197,8 @@ def capture_index(spark: SparkSession, pages: DataFrame, least: int = LEAST_REVI
     """
     small_batches(spark)
     st = Stages(spark, "warc")
-    write_warc(warc_records(pages, least), st.path("archives"), per_file)
-    records = st.put("records", read_warc(spark, st.path("archives")))
-    return merged_index(records, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    write_warc(st.put("pages", warc_records(pages, least)), st.path("archives"), per_file)
+    st.drop("pages")
+    # one archive in a batch: a worker holds no more
+    records = st.put("records", read_warc(spark, st.path("archives")), 1)
+    return merged_index(records, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // PER_RANGE)))
