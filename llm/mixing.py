@@ -5,18 +5,21 @@ a in [0, 1] is bisected: the largest that reaches a target entropy (a share of l
 if need be, to the least that keeps every source within a repetition limit.
 
 A weight times the budget is a source's quota of tokens: so many whole epochs, and a last one that is cut.  An
-epoch is a block permutation: a source's documents lie in hash blocks of about `block` documents,
-blocks are drawn in a hashed order, documents within a block in another.  The cut needs a running
-sum only over blocks, and one within each block; no source's documents ever meet in one task.
+epoch is a block permutation: a source's documents lie in hash blocks of about `block` documents, every epoch
+takes the blocks in a hashed order of its own (`turn`), documents within a block in another (`in_block`).  Places
+and the cut come from running sums in three levels: over stretches of blocks in an epoch's order, over the
+blocks of a stretch, and over the documents of a block.  Neither a source's documents nor its blocks ever meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import keyed
 
+#: Blocks in a stretch.
+STRETCH = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 ENTROPY, REPEATS, BLOCK, SEED, STEPS = 0.9, 4.0, 64, 7, 50
 
@@ -52,27 +55,51 @@ def weights(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     return out.withColumn("rest", F.expr("if(tokens > 0, quota - epochs * tokens, 0)")).drop("total")
 
 
+def _salted(*parts) -> Column:
+    return F.md5(F.encode(F.concat_ws("|", *[p if isinstance(p, Column) else F.col(p).cast("string") for p in parts]), "UTF-8"))
+
+
+def _number(digest: str, below: Column) -> Column:
+    """0 .. below - 1, in the order of the digest."""
+    return F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * below / F.lit(float(2**32)))
+
+
+def block_turns(blocks: DataFrame, seed: int = SEED) -> DataFrame:
+    """src, block, turns: for each epoch (turn, before): the block's place and the tokens before it.
+
+    blocks: src, block, held (tokens), n_blocks (of the source), epochs.
+    """
+    each = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    each = each.withColumn("h", _salted(F.lit(str(seed)), "epoch", "src", "block"))
+    each = each.withColumn("stretch", _number("h", F.ceil(F.col("n_blocks") / STRETCH)))
+    sums = each.groupBy("src", "epoch", "stretch").agg(F.sum("held").alias("held"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("src", "epoch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("src", "epoch", "stretch", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("first"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("rank"))
+    inside = Window.partitionBy("src", "epoch", "stretch").orderBy("h", "block")
+    turn, before = F.row_number().over(inside), F.coalesce(F.sum("held").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = each.select("src", "epoch", "stretch", "block", turn.alias("turn"), before.alias("before")).join(begins, ["src", "epoch", "stretch"])
+    one = F.struct("epoch", (F.col("rank") + F.col("turn")).alias("turn"), (F.col("first") + F.col("before")).alias("before"))
+    return placed.groupBy("src", "block").agg(F.collect_list(one).alias("turns"))
+
+
 def draw(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: float = 1.0, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """One row for each time a document is drawn: rid, doc_id, source, n_tokens, weight, epoch, block, in_block.
+    """One row for each time a document is drawn: rid, doc_id, source, n_tokens, weight, epoch, block, turn, in_block.
 
-    Rows of a null source are one source.  Documents without words cost nothing and are drawn once with the
-    cut epoch.  Null texts are empty.  budget is a multiple of the corpus' tokens.  A row that
-    repeats another (id and text) is drawn on its own.  An empty table gives an empty table.
+    An epoch of a source is its rows in the order of (turn, in_block), both from 1.  Rows of a null source are one source.
+    Documents without words cost nothing and are drawn once with the cut epoch.  Null texts are empty.  budget is a multiple of
+    the corpus' tokens.  A row that repeats another (id and text) is drawn on its own.  An empty table gives an empty table.
     """
-    rows = keyed(docs, "source").select("rid", "doc_id", "source", F.coalesce("source", F.lit("\x00")).alias("src"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_tokens"))
+    key = _salted(F.lit(str(seed)), "doc_id", F.md5(F.encode("text", "UTF-8")))
+    rows = keyed(docs, "source").select("rid", "doc_id", "source", F.coalesce("source", F.lit("\x00")).alias("src"), key.alias("key"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_tokens"))
     sources = rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = weights(sources, entropy, repeats, budget)
-    salted = lambda *parts: F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts]), "UTF-8"))
-    dealt = rows.join(plan.select("src", "weight", "epochs", "rest", F.ceil(F.col("docs") / block).alias("blocks")), "src")
-    dealt = dealt.withColumn("block", F.conv(F.substring(salted("rid"), 1, 8), 16, 10).cast("long") % F.col("blocks"))
-    # where each block of the cut epoch begins
-    sums = dealt.groupBy("src", "block").agg(F.sum("n_tokens").alias("held"), F.first("epochs").alias("epochs"))
-    turn = Window.partitionBy("src").orderBy(salted("epochs", "src", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sums.select("src", "block", F.coalesce(F.sum("held").over(turn), F.lit(0)).alias("before"))
-    each = dealt.join(begins, ["src", "block"]).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-    inside = Window.partitionBy("src", "block", "epoch").orderBy(salted("epoch", "rid"), "rid")
+    dealt = rows.join(plan.select("src", "weight", "epochs", "rest", F.ceil(F.col("docs") / block).alias("n_blocks")), "src")
+    dealt = dealt.withColumn("block", _number("key", F.col("n_blocks")))
+    blocks = dealt.groupBy("src", "block").agg(F.sum("n_tokens").alias("held"), F.first("n_blocks").alias("n_blocks"), F.first("epochs").alias("epochs"))
+    each = dealt.join(block_turns(blocks, seed), ["src", "block"]).withColumn("t", F.explode("turns")).select("*", "t.*").drop("t", "turns")
+    inside = Window.partitionBy("src", "block", "epoch").orderBy(_salted("epoch", "key"), "rid")
     each = each.withColumn("in_block", F.row_number().over(inside)).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return each.filter("epoch < epochs or upto <= rest").select("rid", "doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "in_block")
+    return each.filter("epoch < epochs or upto <= rest").select("rid", "doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), "epoch", "block", "turn", "in_block")
 
 
 def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
@@ -86,7 +113,7 @@ def mix(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
 #: The same in SQL.  Whole words are counted by the same pattern.
 MIXING_SQL = rf"""
 WITH RECURSIVE rows_ AS (
-  SELECT doc_id, source, coalesce(source, chr(0)) AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+  SELECT doc_id, source, coalesce(source, chr(0)) AS src, md5(concat_ws('|', '{SEED}', doc_id, md5(coalesce(text, '')))) AS key, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
 sources AS (SELECT src, sum(n_tokens)::BIGINT AS tokens, count(*) AS docs FROM rows_ GROUP BY src),
 total AS (SELECT sum(tokens)::DOUBLE AS t FROM sources),
 shares AS (SELECT list(tokens::DOUBLE / t ORDER BY src) AS p, {ENTROPY}::DOUBLE * ln(count(*)::DOUBLE) AS goal FROM sources, total WHERE tokens > 0),
@@ -111,14 +138,15 @@ plan AS (
   SELECT src, tokens, docs, weight, floor(weight * t)::BIGINT AS quota, (floor(weight * t)::BIGINT // greatest(tokens, 1))::INT AS epochs FROM (
     SELECT src, tokens, docs, t, CASE WHEN tokens > 0 THEN round(pow(tokens::DOUBLE / t, a) / list_sum(list_transform(p, lambda x: pow(x, a))), 9) ELSE 0 END AS weight FROM sources, total, fit)),
 dealt AS (
-  SELECT r.*, weight, epochs, quota - epochs * tokens AS rest, ('0x' || substr(md5('{SEED}|' || doc_id), 1, 8))::BIGINT % ceil(docs / {BLOCK}.0)::BIGINT AS block
+  SELECT r.*, weight, epochs, quota - epochs * tokens AS rest, ceil(docs / {BLOCK}.0)::BIGINT AS n_blocks, floor(('0x' || substr(key, 1, 8))::BIGINT * ceil(docs / {BLOCK}.0)::BIGINT / 4294967296.0::DOUBLE)::BIGINT AS block
   FROM rows_ r JOIN plan USING (src)),
-begins AS (
-  SELECT src, block, coalesce(sum(held) OVER (PARTITION BY src ORDER BY md5('{SEED}|' || epochs || '|' || src || '|' || block), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM (SELECT src, block, any_value(epochs) AS epochs, sum(n_tokens) AS held FROM dealt GROUP BY src, block)),
-each AS (SELECT d.*, before, unnest(range(0, epochs + 1))::INT AS epoch FROM dealt d JOIN begins USING (src, block))
-SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, epoch, block, in_block FROM (
+turns AS (
+  SELECT src, epoch, block, row_number() OVER w AS turn, coalesce(sum(held) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT src, block, held, unnest(range(0, epochs + 1))::INT AS epoch FROM (SELECT src, block, any_value(epochs) AS epochs, sum(n_tokens) AS held FROM dealt GROUP BY src, block))
+  WINDOW w AS (PARTITION BY src, epoch ORDER BY md5('{SEED}|' || epoch || '|' || src || '|' || block), block)),
+each AS (SELECT d.*, epoch, turn, before FROM dealt d JOIN turns USING (src, block))
+SELECT doc_id, source, n_tokens, round(weight, 6) AS weight, epoch, block, turn, in_block FROM (
   SELECT *, (row_number() OVER w)::INT AS in_block, before + sum(n_tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM each WINDOW w AS (PARTITION BY src, block, epoch ORDER BY md5('{SEED}|' || epoch || '|' || doc_id), doc_id))
+  FROM each WINDOW w AS (PARTITION BY src, block, epoch ORDER BY md5(epoch || '|' || key), doc_id))
 WHERE epoch < epochs OR upto <= rest
 """
