@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import NULL_ID, small_batches
+from llm.common import RID, keyed, small_batches
 from llm.windows import MIX, Hashes, mix
 
 K, M = 8, 48
+#: Keys that the range bounds are taken from.
+SAMPLE = 10_000
 #: Positions whose permuted hashes are held at once.
 PART = 1 << 14
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -102,18 +104,21 @@ def fingerprint_neighbours(spark: SparkSession, docs: DataFrame, k: int = K, m:
     """
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("o"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = keyed(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range bounds, as many as partitions; the range of an id is the number of bounds below it.
-    quantiles = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = sorted(set(rows.agg(F.percentile_approx("o", quantiles, 10_000).alias("q")).first()["q"] or []))
-    rows = rows.withColumn("p", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<bigint>"), lambda b: F.col("o") > b)))
-    # The first id of each range: a row a range, so it may be broadcast.
-    firsts = sorted((r["p"], r["o"]) for r in rows.groupBy("p").agg(F.min("o").alias("o")).collect())
-    heads = spark.createDataFrame([(o, firsts[i - 1][0]) for i, (_, o) in enumerate(firsts)], "o long, host int")
+    # Range bounds from a bounded sample of keys; the range of a row is the number of bounds below it.
+    sample = sorted((r["id"] is not None, r["id"] or 0, r["h"]) for r in rows.select("rid").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("rid.*").collect())
+    cut = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    bounds = [F.struct(F.lit(i if known else None).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for known, i, h in cut]
+    place = F.size(F.filter(F.array(*bounds), lambda b: F.col("rid") > b)) if bounds else F.lit(0)
+    rows = rows.withColumn("p", place)
+    # The first key of each range: a row a range, so it may be broadcast.
+    order = lambda r: (r["p"], r["rid"]["id"] is not None, r["rid"]["id"] or 0, r["rid"]["h"])
+    firsts = sorted(rows.groupBy("p").agg(F.min("rid").alias("rid")).collect(), key=order)
+    heads = spark.createDataFrame([(r["rid"], firsts[i - 1]["p"]) for i, r in enumerate(firsts)], f"rid {RID}, host int")
     to = F.expr("if(host is null, array(struct(p as p, false as guest)), array(struct(p as p, false as guest), struct(host as p, true as guest)))")
-    dealt = rows.join(F.broadcast(heads), "o", "left").withColumn("to", F.explode(to)).select("to.p", "to.guest", "o", "doc_id", "text")
-    dealt = dealt.repartitionByRange(parts, "p").sortWithinPartitions("p", "guest", "o", F.xxhash64("text"))
+    dealt = rows.join(F.broadcast(heads), "rid", "left").withColumn("to", F.explode(to)).select("to.p", "to.guest", "rid", "doc_id", "text")
+    dealt = dealt.repartitionByRange(parts, "p").sortWithinPartitions("p", "guest", "rid")
 
     def run(batches):
         held = None  # the row that waits for its next: (p, id, text, sketch)
@@ -128,7 +133,7 @@ def fingerprint_neighbours(spark: SparkSession, docs: DataFrame, k: int = K, m:
         for batch in batches:
             for p, guest, i, data in zip(*(batch.column(c).to_pylist() for c in ("p", "guest", "doc_id", "text"))):
                 if guest and (held is None or held[0] != p):
-                    continue  # a second row of the same first id
+                    continue  # a second row of the same first key
                 sketch = order_minhash(_codes(data), k, m)
                 if held is not None:
                     close(data, sketch)
