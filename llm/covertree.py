@@ -6,8 +6,9 @@ class joins its nearest centre.  A cell is cut by hash into blocks of about `blo
 dense cell is many blocks.  Each block carries its own cover tree: nested nets with halving radii, each node with the exact
 radius of what it covers.
 
-Cell pairs whose centres are farther apart than both radii and the linking distance are dropped; what is left
-meets block by block.  A block pair is traversed from the roots down, a whole level at once: node pairs
+Blocks are dealt in groups, and every pair of groups is one task that gets each of its blocks once: a block is sent to as
+many tasks as there are groups, not blocks.  Within it, pairs of blocks whose cells' centres are farther apart than both radii and
+the linking distance are dropped; what is left meets block by block.  A block pair is traversed from the roots down, a whole level at once: node pairs
 farther apart than their covering radii allow are pruned with everything below them, and the points of
 the pairs that survive the last level are compared in double precision.  Only counts and a spanning star per
 component leave a block pair, never the pairs.
@@ -15,6 +16,7 @@ component leave a block pair, never the pairs.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import NULL_ID, Stages, components, small_batches
+from llm.common import Stages, components, small_batches
 
 COSINE = 0.95
 SAMPLE, CELLS, BLOCK = 1024, 16, 4096
+#: Blocks of a group at most: a task holds two groups.
+GROUP = 16
 LEVELS = 5
 #: Margin for bounds in single precision.
 SLACK = 1e-3
@@ -138,14 +142,8 @@ def spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
-
-
-def _compare(blobs: dict[int, bytes], cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, weighted link counts and roots of the linked vectors of one block pair."""
-    a = pickle.loads(blobs[0])
-    b = pickle.loads(blobs[1]) if 1 in blobs else a
+def _compare(a: dict, b: dict, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, weighted link counts and roots of the linked vectors of one block pair; a is b: of one block."""
     same = b is a
     links, base = np.zeros(len(a["id"]) + (0 if same else len(b["id"])), np.int64), 0 if same else len(a["id"])
     pairs = []
@@ -168,20 +166,42 @@ def _compare(blobs: dict[int, bytes], cosine: float) -> tuple[np.ndarray, np.nda
     return ids[at], links[at], label[at]
 
 
+def _open(blob: bytes) -> dict:
+    out = pickle.loads(blob)
+    return out | {"x": unit(out["x"])}
+
+
+def layout(stats: dict[tuple[int, int], int], tasks: int) -> list[tuple[int, int, int, int, int, int]]:
+    """dim, cell, blocks, first (number of its first block), size (blocks in a group), groups, of every cell with vectors.
+
+    stats: (dim, cell) -> blocks.  Groups are as large as `tasks` pairs of them allow, GROUP blocks at most.
+    """
+    out = []
+    for dim in sorted({d for d, _ in stats}):
+        cells = sorted((c, n) for (d, c), n in stats.items() if d == dim)
+        total = sum(n for _, n in cells)
+        size = max(1, min(GROUP, math.ceil(total / math.sqrt(2 * tasks))))
+        first = 0
+        for c, n in cells:
+            out.append((dim, c, n, first, size, -(-total // size)))
+            first += n
+    return out
+
+
 def link_embeddings(spark: SparkSession, table: DataFrame, cosine: float = COSINE, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept.
 
     Null vectors, zero vectors and such with null or non-finite components link with nothing.  Only vectors of one length
     are compared.  Rows that repeat a vec_id are other vectors to one another, but one node of a component; a
-    null vec_id counts as the least.  Other columns are ignored.  An empty table gives an empty table.
+    null vec_id counts as the least.  Equal vectors go by a 64-bit hash.  Other columns are ignored.  An empty table gives an empty table.
     """
     small_batches(spark)
     st = Stages(spark, "embeddings")
-    rows = table.select("vec_id", F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.expr("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    usable = rows.filter(F.coalesce(good, F.lit(False)))
+    rows = table.select(F.col("vec_id").alias("given"), F.struct(F.col("vec_id").cast("long").alias("id")).alias("id"), F.col("embedding").alias("v"))
+    rows = rows.withColumn("cid", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("v")))
     # A class of equal vectors goes by a hash of the vector: vec_ids may be null or repeated.
-    classes = st.put("classes", usable.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.xxhash64("v")))
+    classes = st.put("classes", rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")))
     sample = classes.orderBy(F.xxhash64("cid"), "cid").select("v").limit(SAMPLE).toArrow().column("v").to_pylist()
     nets: dict[int, np.ndarray] = {}
     for size in {len(v) for v in sample}:
@@ -203,48 +223,54 @@ def link_embeddings(spark: SparkSession, table: DataFrame, cosine: float = COSIN
                 cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), batch.column("v"), pa.array(size, pa.int32()), pa.array(cell), pa.array(far)], ["cid", "n", "v", "dim", "cell", "far"])
 
-    placed = st.put("placed", classes.select("cid", "n", "v").mapInArrow(place, "cid long, n long, v array<double>, dim int, cell int, far double"))
+    vector = classes.schema["v"].dataType.simpleString()
+    placed = st.put("placed", classes.select("cid", "n", "v").mapInArrow(place, f"cid long, n long, v {vector}, dim int, cell int, far double"))
     # at most `cells` rows for each vector length
-    stats = {(r["dim"], r["cell"]): (r["far"], -(-r["count"] // block)) for r in placed.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("count")).collect()}
+    held = {(r["dim"], r["cell"]): (r["far"], r["count"]) for r in placed.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("count")).collect()}
     reach = float(np.sqrt(2 - 2 * cosine)) + SLACK
-    partners: dict[tuple, list] = {}
-    for d, c in stats:
-        for e, o in stats:
-            apart = float(np.sqrt(((nets[d][c] - nets[d][o]) ** 2).sum())) if d == e and d in nets else 0.0
-            if d == e and apart <= stats[d, c][0] + stats[e, o][0] + reach:
-                partners.setdefault((d, c), []).append((o, stats[e, o][1]))
-    counts = spark.createDataFrame([(d, c, n) for (d, c), (_, n) in stats.items()], "dim int, cell int, blocks int")
-    dealt = placed.join(F.broadcast(counts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    near = {(d, c, o) for d, c in held for e, o in ((d, x) for x in range(cells + 1)) if (e, o) in held and (d not in nets or float(np.sqrt(((nets[d][c] - nets[d][o]) ** 2).sum())) <= held[d, c][0] + held[e, o][0] + reach)}
+    plan = layout({k: -(-n // block) for k, (_, n) in held.items()}, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = spark.createDataFrame(plan, "dim int, cell int, blocks int, first int, size int, groups int")
+    dealt = placed.join(F.broadcast(counts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("grp", F.floor((F.col("first") + F.col("part")) / F.col("size")).cast("int"))
 
     def pack(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        dim, cell, part = (k.as_py() for k in keys)
-        x = unit(_matrix(t.column("v")))
-        blob = pickle.dumps({"id": t.column("cid").to_numpy(), "n": t.column("n").to_numpy(), "x": x, "tree": CoverTree(x)}, 5)
-        mine = (cell, part)
-        for other, parts in partners[dim, cell]:
-            for p in range(parts):
-                first, second = sorted((mine, (other, p)))
-                yield pa.RecordBatch.from_pydict({"pair": [f"{dim}:{first}:{second}"], "side": pa.array([int(mine != first)], pa.int32()), "blob": pa.array([blob], pa.binary())})
+        dim, cell, grp, _, groups = (k.as_py() for k in keys)
+        x = np.array(t.column("v").to_pylist(), np.float64)
+        tree = CoverTree(unit(x))
+        narrow = pa.types.is_float32(t.schema.field("v").type.value_type)
+        blob = pickle.dumps({"id": t.column("cid").to_numpy(), "n": t.column("n").to_numpy(), "x": x.astype(np.float32) if narrow else x, "tree": tree, "cell": cell}, 5)
+        for other in range(groups):
+            low, high = sorted((grp, other))
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "low": pa.array([low], pa.int32()), "high": pa.array([high], pa.int32()), "side": pa.array([int(grp > other)], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     def meet(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = {s: x for b in batches for s, x in zip(b.column("side").to_pylist(), b.column("blob").to_pylist())}
-        # a partner block may be empty; a pair of one block alone has equal halves in its key
-        whole = keys[0].as_py().split(":", 1)[1].split(":")
-        if len(blobs) == 2 or 0 in blobs and whole[0] == whole[1]:
-            ids, links, root = _compare(blobs, cosine)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], ["cid", "links", "root"])
-
-    packed = dealt.select("dim", "cell", "part", "cid", "n", "v").groupBy("dim", "cell", "part").applyInArrow(pack, "pair string, side int, blob binary")
-    found = st.put("found", packed.groupBy("pair").applyInArrow(meet, "cid long, links long, root long"))
+        dim, low, high = (k.as_py() for k in keys)
+        sides: tuple[list, list] = ([], [])
+        for b in batches:
+            for s, x in zip(b.column("side").to_pylist(), b.column("blob").to_pylist()):
+                sides[s].append(x)
+        for at, one in enumerate(sides[0]):
+            a = _open(one)
+            for two in [None, *sides[0][at + 1 :]] if low == high else sides[1]:
+                b = a if two is None else _open(two)
+                if (dim, a["cell"], b["cell"]) in near:
+                    ids, links, root = _compare(a, b, cosine)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(root)], ["cid", "links", "root"])
+
+    packed = dealt.select("dim", "cell", "grp", "part", "groups", "cid", "n", "v").groupBy("dim", "cell", "grp", "part", "groups").applyInArrow(pack, "dim int, low int, high int, side int, blob binary")
+    found = st.put("found", packed.groupBy("dim", "low", "high").applyInArrow(meet, "cid long, links long, root long"))
+    st.drop("placed")
     roots = components(st, found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    full = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    full = st.put("whole", full.select("v", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("root")))
+    few = classes.select("cid", "n", "least")
+    full = few.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    full = st.put("whole", full.select("cid", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cid").alias("root")))
     # two classes of one least id stay two components, of the same component_id
     ids = full.groupBy("root").agg(F.min("least").alias("component"))
-    full = st.put("of", full.join(ids, "root").select("v", "n", "links", "component"))
-    st.drop("placed", "found", "whole")
-    linked = rows.withColumn("v", F.when(F.coalesce(good, F.lit(False)), F.col("v"))).join(full, "v", "left")
+    full = st.put("of", full.join(ids, "root").select("cid", "n", "links", "component"))
+    st.drop("found", "whole", "classes")
     root = F.coalesce("component", "id")
-    return linked.select("vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"), F.when(root != NULL_ID, root).alias("component_id"), (F.col("id") == root).alias("kept"))
+    linked = rows.select("given", "id", "cid").join(full, "cid", "left")
+    return linked.select(F.col("given").alias("vec_id"), F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).alias("n_links"), root["id"].alias("component_id"), (F.col("id") == root).alias("kept"))
