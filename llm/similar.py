@@ -28,7 +28,7 @@ from llm.simhash import BUCKET, LOWER, fingerprints, links
 from llm.sketch import reached, sketch, width
 
 SHINGLE, SIMILARITY = 5, 0.8
-ROUNDS = 4
+ROUNDS = 2
 #: Shingles of hash below this are counted.
 COUNTED = np.uint64(1 << 63)
 #: Sets that hold a shingle that is put last, at least.
@@ -36,7 +36,7 @@ HOT = 33
 #: Cells of the sketch, as a power of two, at most.
 MAX_BITS = 28
 SLACK = 1e-9
-#: Rows of an Arrow batch of sets, two sets of up to 160 kB each.
+#: Rows of an Arrow batch of sets, up to 160 kB each.
 SET_ROWS = 50
 #: Rows of an Arrow batch of texts that become sets.
 TEXT_ROWS = 250
@@ -92,26 +92,56 @@ def digests(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(scan, f"rid {RID}, digest binary")
 
 
-def proved(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+def outline(h: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes lie in each of some stretches, two to four in one on average."""
+    k = max(6, math.ceil(math.log2(max(1, len(h)) / 4)))
+    return np.minimum(np.bincount((h >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k), 255).astype(np.uint8)
+
+
+def shared_at_most(x: np.ndarray, y: np.ndarray) -> int:
+    """Hashes that two sets share at most, by their outlines; the finer one is folded."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x.reshape(-1, 2).sum(axis=1)
+    return int(np.minimum(x, y).sum())
+
+
+def shared_by(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x.view(np.uint64), y.view(np.uint64), assume_unique=True))
+
+
+def compared(pairs: DataFrame, base: DataFrame, k: int, similarity: float, form, shared) -> DataFrame:
+    """The pairs (a, b) whose sets, of which `form` is kept, are similar as far as `shared` tells."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
 
     def sets(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([shingles(x, k).tobytes() for x in texts(batch)], pa.binary())], ["rid", "set"])
+            found = [shingles(x, k) for x in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([len(h) for h in found], pa.int32()), pa.array([form(h).tobytes() for h in found], pa.binary())], ["rid", "n", "set"])
 
     def look(batches):
         for batch in batches:
             good = []
-            for x, y in zip(texts(batch, "x"), texts(batch, "y")):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m")), texts(batch, "x"), texts(batch, "y")):
+                both = shared(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+                good.append(both >= similarity * (n + m - both) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = base.select("rid", "text").join(ends, "rid", "left_semi").mapInArrow(sets, f"rid {RID}, set binary")
-    side = lambda c, s: of.select(F.col("rid").alias(c), F.col("set").alias(s))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(look, f"a {RID}, b {RID}")
+    of = base.select("rid", "text").join(ends, "rid", "left_semi").mapInArrow(sets, f"rid {RID}, n int, set binary")
+    side = lambda c, n, s: of.select(F.col("rid").alias(c), F.col("n").alias(n), F.col("set").alias(s))
+    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(look, f"a {RID}, b {RID}")
+
+
+def possible(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Pairs without those that outlines rule out: a sixteenth of the bytes of the sets."""
+    return compared(pairs, base, k, similarity, outline, shared_at_most)
+
+
+def proved(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    return compared(pairs, base, k, similarity, lambda h: h, shared_by)
 
 
 def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -126,12 +156,14 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
     fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - SLACK
     found = []
 
-    def prove(pairs: DataFrame) -> DataFrame:
+    def prove(pairs: DataFrame, sift: bool = False) -> DataFrame:
         """Adds the links among the pairs; component of every node that has a link so far."""
         tag = f"links-{len(found)}"
         pairs = st.put(f"pairs-{tag}", pairs.select("a", "b").distinct())
+        if sift:
+            pairs = st.put(f"sifted-{tag}", possible(pairs, base, k, similarity), SET_ROWS)
         found.append(st.put(tag, proved(pairs, base, k, similarity), SET_ROWS))
-        st.drop(f"pairs-{tag}")
+        st.drop(f"pairs-{tag}", f"sifted-{tag}")
         every = found[0]
         for more in found[1:]:
             every = every.unionByName(more)
@@ -157,15 +189,27 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
     shared = st.put("shared", heads.join(size, "h"))
     st.drop("heads")
 
-    def across(big: DataFrame) -> DataFrame:
-        """Pairs that meet in a bucket and are not yet in one component."""
-        x, y = (big.select("h", F.col("rid").alias(r), F.col("n").alias(f"n{r}"), F.col("label").alias(f"l{r}")) for r in "ab")
-        return x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")))
+    tokens = st.put("tokens", shared.groupBy("rid").agg(F.count_if(F.col("count") <= BUCKET).alias("small"), F.count_if(F.col("count") > BUCKET).alias("big")))
+
+    def across(met: DataFrame, rest: str) -> DataFrame:
+        """Pairs that meet in a bucket, are not yet in one component and can be similar.
+
+        Similar sets of n and m share s / (1 + s) of n + m, s the similarity, and so many shingles of their prefixes, not just one.  A pair
+        is counted in the buckets given; of the other ones (small or big) it has no more than its lesser member.
+        """
+        x, y = (met.select("h", F.col("rid").alias(r), F.col("n").alias(f"n{r}"), F.col("label").alias(f"l{r}")) for r in "ab")
+        pairs = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")))
+        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+        other = lambda r: tokens.select(F.col("rid").alias(r), F.col(rest).alias(f"{r}_rest"))
+        pairs = pairs.join(other("a"), "a").join(other("b"), "b")
+        least = F.greatest("na", "nb") * similarity  # the prefix leaves so many out
+        overlap = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity))
+        return pairs.filter(F.col("c") + F.least("a_rest", "b_rest") >= overlap - F.ceil(least - SLACK) + 1 - SLACK)
 
     def labelled(part: DataFrame) -> DataFrame:
         return part.select("h", "rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "n", F.coalesce("component", "rid").alias("label"))
 
-    roots = prove(across(labelled(shared.filter(F.col("count") <= BUCKET))))
+    roots = prove(across(labelled(shared.filter(F.col("count") <= BUCKET)), "big"), sift=True)
     big = shared.filter(F.col("count") > BUCKET)
     for turn in range(ROUNDS + 1):
         now = labelled(big)
@@ -174,11 +218,11 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
         if big.isEmpty():
             break
         if turn == ROUNDS:
-            roots = prove(across(big))
+            roots = prove(across(big, "small"), sift=True)
             break
         roots = prove(big.filter((F.col("rid") != F.col("c.rid")) & (F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.rid").alias("a"), F.col("rid").alias("b")))
         big = big.filter(F.col("rid") != F.col("c.rid"))
     of = same.join(roots, "node", "left").select("rid", F.coalesce("component", "node").alias("component"))
     of = st.put("of", of)
-    st.drop("same", "base", "shared")
+    st.drop("same", "base", "shared", "tokens")
     return of
