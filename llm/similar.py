@@ -3,17 +3,18 @@
 SimHash (simhash.py) links most near copies without regard to a group's size; its links count here once
 the sets prove them.  What it misses is found by prefix filtering, which misses nothing: in any one order of the
 shingles, two sets that are similar share a shingle among the first n - ceil(similarity * n) + 1 of each.  The order is
-by hash, with shingles that many sets hold put last, so that common passages rarely meet in a bucket.  Only shingles that a
-count-min sketch calls repeated are written: the sketch counts all of hash below `COUNTED`, and its estimates err
-upwards only; shingles above are written unseen, so no link is lost.
+by hash, but shingles that many sets hold (by a count-min sketch of them all) come last, the most common at the very end, so that
+common passages rarely meet in a bucket.  Of the prefixes only shingles that a second sketch calls repeated are written.  Estimates err upwards only: the
+first decides an order, the second loses none.
 
-A bucket of more than `BUCKET` sets isn't paired at once.  Its members are compared with the least, components are
-taken, and the bucket goes on without it, while it has more than one component; pairs within a component need
-no look.  What is left after `ROUNDS` is paired across components.
+A bucket of more than `BUCKET` sets isn't paired at once.  Its members are compared with the one that has most links so far,
+components are taken, and the bucket goes on without it, while it has more than one component; pairs within a component need
+no look.  What is left when the rounds no longer help is paired across components.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -28,11 +29,10 @@ from llm.simhash import BUCKET, LOWER, fingerprints, links
 from llm.sketch import reached, sketch, width
 
 SHINGLE, SIMILARITY = 5, 0.8
-ROUNDS = 2
-#: Shingles of hash below this are counted.
-COUNTED = np.uint64(1 << 63)
-#: Sets that hold a shingle that is put last, at least.
-HOT = 33
+#: Rounds at most, and the share of rows that a round may leave for another to follow.
+ROUNDS, PROGRESS = 6, 0.8
+#: Sets that hold a shingle that is put behind others, at least; a level each.
+HOT = (33, 100, 300, 1000, 3000, 10_000)
 #: Cells of the sketch, as a power of two, at most.
 MAX_BITS = 28
 SLACK = 1e-9
@@ -49,34 +49,32 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(W.Hashes(words).of(at, np.minimum(at + k, len(words))))
 
 
-def _prefix(h: np.ndarray, hot: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set, those that are hot after the others."""
-    n = len(h) - math.ceil(similarity * len(h) - SLACK) + 1 if len(h) else 0
-    return np.r_[h[~hot], h[hot]][:n]
+def heads(data: list[bytes], often: list[bytes], bits: int, k: int, similarity: float) -> tuple[list[int], list[np.ndarray]]:
+    """Sizes and prefixes of the sets of some texts; often: the sketch's bitmaps of the levels of HOT."""
+    levels, sets = [np.frombuffer(x, np.uint8) for x in often], [shingles(x, k) for x in data]
+    out = []
+    for h in sets:
+        n = len(h) - math.ceil(similarity * len(h) - SLACK) + 1 if len(h) else 0
+        rank = np.zeros(len(h), np.int8)
+        for level, x in enumerate(levels):
+            at = np.flatnonzero(rank == level)  # who has reached a level has reached those below
+            rank[at[reached(h[at], x, bits)]] += 1
+        out.append(h[np.argsort(rank, kind="stable")[:n]])
+    return [len(h) for h in sets], out
 
 
-def prefixes(base: DataFrame, bitmaps, bits: int, k: int, similarity: float) -> DataFrame:
-    """rid, n (size of the set), h (a shingle of its prefix) but those that no other set has."""
+def prefixes(base: DataFrame, often, often_bits: int, twice, bits: int, k: int, similarity: float) -> DataFrame:
+    """rid, n (size of the set), h (a shingle of its prefix) but those that no other prefix has."""
 
     def scan(batches):
-        often, twice = (np.frombuffer(x, np.uint8) for x in bitmaps.value)
+        seen = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            sets = [shingles(x, k) for x in texts(batch)]
-            heads = []
-            for h in sets:
-                low = int(np.searchsorted(h, COUNTED))
-                hot = np.zeros(len(h), bool)
-                hot[:low] = reached(h[:low], often, bits)
-                head = _prefix(h, hot, similarity)
-                seen = head < COUNTED
-                keep = ~seen
-                keep[seen] = reached(head[seen], twice, bits)
-                heads.append(head[keep])
-            size = [len(h) for h in heads]
+            n, found = heads(texts(batch), often.value, often_bits, k, similarity)
+            found = [h[reached(h, seen, bits)] for h in found]
+            size = [len(h) for h in found]
             if sum(size):
-                at = pa.array(np.repeat(np.arange(len(sets)), size))
-                n = np.repeat([len(h) for h in sets], size).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), pa.array(n), pa.array(np.concatenate(heads).view(np.int64))], ["rid", "n", "h"])
+                at = pa.array(np.repeat(np.arange(len(n)), size))
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), pa.array(np.repeat(n, size).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64))], ["rid", "n", "h"])
 
     return base.select("rid", "text").mapInArrow(scan, f"rid {RID}, n int, h long")
 
@@ -164,10 +162,7 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
             pairs = st.put(f"sifted-{tag}", possible(pairs, base, k, similarity), SET_ROWS)
         found.append(st.put(tag, proved(pairs, base, k, similarity), SET_ROWS))
         st.drop(f"pairs-{tag}", f"sifted-{tag}")
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        return components(st, every, f"cc-{len(found)}")
+        return components(st, functools.reduce(DataFrame.unionByName, found), f"cc-{len(found)}")
 
     prints = st.put("prints", fingerprints(base.withColumn("doc_id", F.col("rid"))).select("rid", "fp"))
     distinct = st.put("distinct", prints.groupBy("fp").agg(F.min("rid").alias("node")))
@@ -178,15 +173,18 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
     roots = prove(near.unionByName(equal))
     st.drop("near", "star", "crowd", "prints", "distinct")
 
-    counted = lambda data: (h[: np.searchsorted(h, COUNTED)] for h in (shingles(x, k) for x in data))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = width(size / 6 / 2, MAX_BITS)  # about 6 bytes a word, half of the shingles
+    words = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6  # about 6 bytes a word
+    # a cell of the first sketch holds eight shingles or so, far from HOT
+    many, few = width(words / 64, MAX_BITS), width(words * (1 - similarity), MAX_BITS)
     with setting(spark, BATCH_CONF, str(TEXT_ROWS)):
-        bitmaps = spark.sparkContext.broadcast(sketch(base, counted, bits, (HOT, 2)))
-    heads = st.put("heads", prefixes(base, bitmaps, bits, k, similarity), TEXT_ROWS)
-    bitmaps.unpersist()
-    size = heads.groupBy("h").count().filter("count > 1")
-    shared = st.put("shared", heads.join(size, "h"))
+        often = spark.sparkContext.broadcast(sketch(base, lambda data: (shingles(x, k) for x in data), many, HOT))
+        heads_of = lambda data: heads(data, often.value, many, k, similarity)[1]
+        twice = spark.sparkContext.broadcast(sketch(base, heads_of, few)[0])
+    firsts = st.put("heads", prefixes(base, often, many, twice, few, k, similarity), TEXT_ROWS)
+    often.unpersist()
+    twice.unpersist()
+    size = firsts.groupBy("h").count().filter("count > 1")
+    shared = st.put("shared", firsts.join(size, "h"))
     st.drop("heads")
 
     tokens = st.put("tokens", shared.groupBy("rid").agg(F.count_if(F.col("count") <= BUCKET).alias("small"), F.count_if(F.col("count") > BUCKET).alias("big")))
@@ -209,17 +207,23 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
     def labelled(part: DataFrame) -> DataFrame:
         return part.select("h", "rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("h", "rid", "n", F.coalesce("component", "rid").alias("label"))
 
+    def degrees() -> DataFrame:
+        ends = F.explode(F.array("a", "b")).alias("rid")
+        return functools.reduce(DataFrame.unionByName, found).select(ends).groupBy("rid").agg(F.count("*").alias("degree"))
+
     roots = prove(across(labelled(shared.filter(F.col("count") <= BUCKET)), "big"), sift=True)
-    big = shared.filter(F.col("count") > BUCKET)
+    big, before = shared.filter(F.col("count") > BUCKET), math.inf
     for turn in range(ROUNDS + 1):
-        now = labelled(big)
-        live = now.groupBy("h").agg(F.min(F.struct("rid", "n", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h", "c")
+        now = labelled(big).join(degrees(), "rid", "left").fillna(0, ["degree"])
+        live = now.groupBy("h").agg(F.max(F.struct("degree", "rid", "n", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h", "c")
         big = st.put(f"big-{turn}", now.join(live, "h"))
-        if big.isEmpty():
+        left = big.count()
+        if not left:
             break
-        if turn == ROUNDS:
+        if turn == ROUNDS or left > PROGRESS * before:
             roots = prove(across(big, "small"), sift=True)
             break
+        before = left
         roots = prove(big.filter((F.col("rid") != F.col("c.rid")) & (F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.rid").alias("a"), F.col("rid").alias("b")))
         big = big.filter(F.col("rid") != F.col("c.rid"))
     of = same.join(roots, "node", "left").select("rid", F.coalesce("component", "node").alias("component"))

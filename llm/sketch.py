@@ -43,7 +43,7 @@ def width(hashes: float, most: int) -> int:
 
 
 def sketch(docs: DataFrame, hashes: Callable[[list[bytes]], Iterable[np.ndarray]], bits: int, counts: tuple[int, ...] = (2,)) -> list[bytes]:
-    """A bitmap for each of the counts (255 at most): the cells that reached it.  hashes: arrays of hashes from some texts."""
+    """A bitmap for each of the counts (65,535 at most): the cells that reached it.  hashes: arrays of hashes from some texts."""
     per, top = (DEPTH << bits) // RANGES, max(counts)
 
     def flush(held: list[np.ndarray]):
@@ -56,7 +56,7 @@ def sketch(docs: DataFrame, hashes: Callable[[list[bytes]], Iterable[np.ndarray]
                 c = (c - np.uint64(p * per)).astype(np.int64)
                 out["part"].append(p)
                 out["cells"].append(zlib.compress(np.diff(c, prepend=0).astype(np.uint32).tobytes(), 1))
-                out["n"].append(zlib.compress(np.minimum(m, top).astype(np.uint8).tobytes(), 1))
+                out["n"].append(zlib.compress(np.minimum(m, top).astype(np.uint16).tobytes(), 1))
         return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())]))
 
     def count(batches):
@@ -73,11 +73,11 @@ def sketch(docs: DataFrame, hashes: Callable[[list[bytes]], Iterable[np.ndarray]
 
     def add(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A range's sketches are added one after another: memory is one range whatever the partitions.
-        total = np.zeros(per, np.uint16)
+        total = np.zeros(per, np.uint32)
         for batch in batches:
             for x, n in zip(batch.column("cells").to_pylist(), batch.column("n").to_pylist()):
                 c = np.cumsum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64))
-                total[c] = np.minimum(total[c] + np.frombuffer(zlib.decompress(n), np.uint8), top)
+                total[c] = np.minimum(total[c] + np.frombuffer(zlib.decompress(n), np.uint16), top)
         bitmaps = [zlib.compress(np.packbits(total >= k).tobytes(), 1) for k in counts]
         yield pa.RecordBatch.from_arrays([pa.array([keys[0].as_py()], pa.int32()), pa.array([bitmaps], pa.list_(pa.binary()))], ["part", "bits"])
 
