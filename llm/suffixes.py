@@ -155,7 +155,8 @@ class Family:
         self.made += 1
         name = f"{self.tag}_{self.made}"
         with setting(self.spark, CLEAN_CONF, "true"), setting(self.spark, BATCH_CONF, str(ENTRY_ROWS)):
-            df.select("*").write.bucketBy(self.buckets, "kh").sortBy("kh", "suffix").option("path", self.stages.path(name)).option("compression", "zstd").format("parquet").saveAsTable(name)
+            # neighbours() has sorted the rows; a sortBy here would sort them again
+            df.select("*").write.bucketBy(self.buckets, "kh").option("path", self.stages.path(name)).option("compression", "zstd").format("parquet").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -207,11 +208,14 @@ class Family:
 
     def live(self) -> DataFrame:
         """kh, sx (hash of the suffix), lcp of all live suffixes."""
+        depth = self.depth
 
         def name(batches):
             for batch in batches:
-                s = batch.column("suffix").cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column("kh"), _short(s), batch.column("lcp")], ["kh", "sx", "lcp"])
+                m, size = _matrix(batch.column("suffix"), depth)
+                at = np.arange(len(size)) * depth
+                sx = W.Hashes(W.BYTE_TABLE[m.ravel()]).of(at, at + size)
+                yield pa.RecordBatch.from_arrays([batch.column("kh"), pa.array(sx.view(np.int64)), batch.column("lcp")], ["kh", "sx", "lcp"])
 
         parts = [self._live(self.spark.table(t)) for t in self.levels.values()] + [self.stages.get(s) for s in self.scans]
         every = parts[0]
@@ -228,11 +232,6 @@ class Family:
         self.levels, self.scans = {}, []
 
 
-def _short(found: list[bytes]) -> pa.Array:
-    blake = hashlib.blake2b
-    return pa.array(np.frombuffer(b"".join([blake(x, digest_size=8).digest() for x in found]), "<i8"))
-
-
 def suffix_runs(docs: DataFrame, length: int, k: int, depth: int) -> DataFrame:
     """The anchored runs of all windows, each with the hash of its suffix (sx) and a digest of all its bytes (d1, d2)."""
 
@@ -241,14 +240,13 @@ def suffix_runs(docs: DataFrame, length: int, k: int, depth: int) -> DataFrame:
             rid, data = batch.column("rid"), texts(batch)
             for part in chunks(data):
                 r = W.all_runs([W.byte_symbols(data[i]) for i in part], length, k)
-                end = r["stop"] + length - 1
-                sx, d = [], []
-                for i, a, b, at in zip((r["doc"] + part.start).tolist(), r["start"].tolist(), end.tolist(), r["anchor"].tolist()):
-                    x = data[i]
-                    sx.append(x[at : min(at + depth, b)])
-                    d.append(hashlib.blake2b(x[a:b], digest_size=16).digest())
+                flat, end = b"".join([data[i] for i in part]), r["stop"] + length - 1
+                begin = np.cumsum([0, *(len(data[i]) for i in part)])[r["doc"]]
+                at = begin + r["anchor"]
+                sx = W.Hashes(W.byte_symbols(flat)).of(at, np.minimum(at + depth, begin + end)).view(np.int64)
+                d = W.digests(flat, begin + r["start"], begin + end)
                 i32 = lambda c: pa.array(r[c].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([rid.take(pa.array(r["doc"] + part.start)), i32("start"), i32("stop"), i32("anchor"), pa.array(r["anchor_hash"].view(np.int64)), _short(sx), *W.halves(d)], ["rid", "start", "stop", "anchor", "kh", "sx", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([rid.take(pa.array(r["doc"] + part.start)), i32("start"), i32("stop"), i32("anchor"), pa.array(r["anchor_hash"].view(np.int64)), pa.array(sx), *W.halves(d)], ["rid", "start", "stop", "anchor", "kh", "sx", "d1", "d2"])
 
     return docs.select("rid", "text").mapInArrow(scan, f"rid {RID}, start int, stop int, anchor int, kh long, sx long, d1 long, d2 long")
 
