@@ -36,6 +36,8 @@ LEVELS = 5
 SLACK = 1e-3
 #: Rows of a block that are compared at once.
 TILE = 512
+#: Pairs that are left are compared one by one if they are this few among all.
+FEW = 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -98,34 +100,54 @@ class CoverTree:
         return out
 
 
+def _within_reach(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, reach: float) -> np.ndarray:
+    """Which nodes lie no farther apart than their radii and the reach, by the cosine of their centres."""
+    cosines = a.astype(np.float32) @ b.astype(np.float32).T
+    if ra.min() == ra.max() and rb.min() == rb.max():
+        return cosines >= np.float32(1 - (ra[0] + rb[0] + reach) ** 2 / 2)
+    return cosines >= (1 - (ra[:, None] + rb + reach) ** 2 / 2).astype(np.float32)
+
+
+def _points_below(tx: CoverTree, u: np.ndarray, ty: CoverTree, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The point pairs below node pairs (u, v), unless they are more than `most`."""
+    sizes = [np.bincount(t.leaf, minlength=len(t.levels[-1][0])) for t in (tx, ty)]
+    n, m = sizes[0][u], sizes[1][v]
+    if int((n * m).sum()) > most:
+        return None
+    first = [np.cumsum(s) - s for s in sizes]
+    order = [np.argsort(t.leaf, kind="stable") for t in (tx, ty)]
+    nth = np.repeat(np.arange(len(u)), n * m)
+    at = np.arange(len(nth)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+    return order[0][first[0][u[nth]] + at // m[nth]], order[1][first[1][v[nth]] + at % m[nth]]
+
+
 def dual(x: np.ndarray, tx: CoverTree, y: np.ndarray, ty: CoverTree, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked point pairs, tile by tile."""
+    """Linked point pairs, part by part."""
     reach = np.sqrt(2 - 2 * cosine) + SLACK
     alive = np.ones((1, 1), bool)
-    depth = max(len(tx.levels), len(ty.levels))
-    for level in range(depth):
+    for level in range(max(len(tx.levels), len(ty.levels))):
         sides = []
         for points, t in ((x, tx), (y, ty)):
             at = min(level, len(t.levels) - 1)
             centres, parent, radius = t.levels[at]
             sides.append((points[centres], parent if at == level and level else np.arange(len(centres)), radius))
         (cx, px, rx), (cy, py, ry) = sides
-        if level:
-            alive = alive[px][:, py]
-        rows, cols = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        if not len(rows):
+        alive = (alive.all() or alive[px][:, py]) & _within_reach(cx, rx, cy, ry, reach)
+        if not alive.any():
             return
-        new = np.zeros_like(alive)
-        bound = (rx[rows, None] + ry[cols] + reach).astype(np.float32)
-        new[np.ix_(rows, cols)] = alive[np.ix_(rows, cols)] & (distance(cx[rows], cy[cols]) <= bound)
-        alive = new
+    u, v = np.nonzero(alive)
+    found = _points_below(tx, u, ty, v, len(x) * len(y) // FEW)
+    if found is not None:  # pair by pair
+        for k in range(0, len(found[0]), TILE * TILE):
+            i, j = (f[k : k + TILE * TILE] for f in found)
+            hit = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+            yield i[hit], j[hit]
+        return
     for at in range(0, len(x), TILE):
         live = alive[tx.leaf[at : at + TILE]][:, ty.leaf]
         rows, cols = np.flatnonzero(live.any(axis=1)), np.flatnonzero(live.any(axis=0))
-        if len(rows):
-            hit = live[np.ix_(rows, cols)] & (x[at + rows] @ y[cols].T >= cosine)
-            i, j = np.nonzero(hit)
-            yield at + rows[i], cols[j]
+        i, j = np.nonzero(live[np.ix_(rows, cols)] & (x[at + rows] @ y[cols].T >= cosine))
+        yield at + rows[i], cols[j]
 
 
 def spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
