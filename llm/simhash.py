@@ -69,7 +69,8 @@ def links(st: Stages, prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     variant = F.expr("part.bits & ~shiftleft(1L, j)").bitwiseOR(F.expr("shiftleft(cast(j * 2 + part.seg as long), 32)")).alias("key")
     rows = st.put("variants", cut.select("fp", variant))
     size = st.put("sizes", rows.groupBy("key").count().filter("count > 1"))
-    small = rows.join(size.filter(F.col("count") <= bucket), "key")
+    # the same plan at every size: the keys in use are as many as the variants
+    small = rows.join(size.filter(F.col("count") <= bucket).hint("merge"), "key")
     left, right = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     st.put("near", left.join(right, "key").filter("a < b and bit_count(a ^ b) <= 2").select("a", "b").distinct())
     crowd = st.put("crowd", rows.join(size.filter(F.col("count") > bucket), "key", "left_semi").select("fp").distinct())

@@ -127,9 +127,10 @@ def compared(pairs: DataFrame, base: DataFrame, k: int, similarity: float, form,
                 good.append(both >= similarity * (n + m - both) - SLACK)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    of = base.select("rid", "text").join(ends, "rid", "left_semi").mapInArrow(sets, f"rid {RID}, n int, set binary")
+    # the same plan at every size: the ends are as many as the texts that have near copies
+    of = base.select("rid", "text").join(ends.hint("merge"), "rid", "left_semi").mapInArrow(sets, f"rid {RID}, n int, set binary")
     side = lambda c, n, s: of.select(F.col("rid").alias(c), F.col("n").alias(n), F.col("set").alias(s))
-    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(look, f"a {RID}, b {RID}")
+    return pairs.hint("merge").join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(look, f"a {RID}, b {RID}")
 
 
 def possible(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> DataFrame:
