@@ -9,7 +9,9 @@ first decides an order, the second loses none.
 
 A bucket of more than `BUCKET` sets isn't paired at once.  Its members are compared with the one that has most links so far,
 components are taken, and the bucket goes on without it, while it has more than one component; pairs within a component need
-no look.  What is left when the rounds no longer help is paired across components.
+no look.  What is left when the rounds no longer help is a crowd: sets that share shingles, most of them less alike than asked.
+Crowds are cut into blocks, every two blocks meet in a task, and a task sends a spanning forest of the links that it finds: rows
+grow with members times blocks, pairs are never rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,12 @@ HOT = (33, 100, 300, 1000, 3000, 10_000)
 #: Cells of the sketch, as a power of two, at most.
 MAX_BITS = 28
 SLACK = 1e-9
+#: Members of a block of a crowd: the fewest, and the most on average; a crowd has up to BLOCKS blocks before they grow.
+FEWEST, MOST, BLOCKS = 256, 2048, 16
+#: Shingles of a block on average, at most.
+BLOCK_SHINGLES = 1 << 21
+#: Cells of the matrix of members and shingles that is multiplied at once.
+CELLS = 1 << 22
 #: Rows of an Arrow batch of sets, up to 160 kB each.
 SET_ROWS = 50
 #: Rows of an Arrow batch of texts that become sets.
@@ -143,6 +151,73 @@ def proved(pairs: DataFrame, base: DataFrame, k: int, similarity: float) -> Data
     return compared(pairs, base, k, similarity, lambda h: h, shared_by)
 
 
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes that each of the left sets shares with each of the right ones (a set with itself: not all)."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    h, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, count = np.unique(h, return_inverse=True, return_counts=True)
+    held = count[token] > 1  # a hash that one set alone has counts for nothing
+    token, who = (np.cumsum(count > 1) - 1)[token[held]], who[held]
+    order = np.argsort(token, kind="stable")
+    token, who = token[order], who[order]
+    step = max(1, CELLS // len(sets))
+    for lo in range(0, int((count > 1).sum()), step):
+        s, e = np.searchsorted(token, [lo, lo + step])
+        m = np.zeros((len(sets), step), np.float32)
+        m[who[s:e], token[s:e] - lo] = 1
+        out += (m[left] @ m[right].T).astype(np.int32)
+    return out
+
+
+def forest(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that join the classes x of the rows and y of the columns as all links do."""
+    root, out = np.arange(max(x.max(initial=-1), y.max(initial=-1)) + 1), []
+    for i in range(len(x)):
+        at = np.flatnonzero(linked[i])
+        for r, first in zip(*np.unique(root[y[at]], return_index=True)):
+            if r != root[x[i]]:
+                out.append((i, int(at[first])))
+                root[root == r] = root[x[i]]
+    return out
+
+
+def crowds(st: Stages, big: DataFrame, base: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (a, b) among members of big (h, rid, n, label, c), sets that share a shingle with another one, directly or not.
+
+    The links join labels as all similar pairs do.
+    """
+    of = components(st, big.select(F.col("c.rid").alias("a"), F.col("rid").alias("b")), "crowd")
+    of = st.put("members", big.select("rid", "n", "label").distinct().join(of.select(F.col("node").alias("rid"), F.xxhash64("component").alias("crowd")), "rid"))
+    size = of.groupBy("crowd").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
+    members = F.least(F.lit(MOST), F.greatest(F.lit(FEWEST), F.col("members") / BLOCKS))
+    blocks = F.ceil(F.greatest(F.col("members") / members, F.col("hashes") / BLOCK_SHINGLES))
+    of = of.join(size.select("crowd", blocks.alias("blocks")), "crowd").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingles(x, k).tobytes() for x in texts(batch)]
+            yield batch.select(["rid", "label", "crowd", "blocks", "block"]).append_column("set", pa.array(found, pa.binary()))
+
+    of = st.put("crowd-sets", of.join(base.select("rid", "text"), "rid").mapInArrow(sets, f"rid {RID}, label {RID}, crowd long, blocks long, block long, set binary"), SET_ROWS)
+    of = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    of = of.select("crowd", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rid", "label", "set")
+
+    def meet(table: pa.Table) -> pa.Table:
+        i, j, block = (table.column(c).to_numpy() for c in ("i", "j", "block"))
+        found = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        n, known = np.array([len(x) for x in found]), {}
+        label = np.array([known.setdefault(tuple(x.values()), len(known)) for x in table.column("label").to_pylist()])
+        both = overlaps(found, left, right)
+        linked = both >= similarity * (n[left][:, None] + n[right] - both) - SLACK
+        links = forest(linked, label[left], label[right])
+        rid = table.column("rid").combine_chunks()
+        ends = [rid.take(pa.array([int(side[x[at]]) for x in links], pa.int64())) for at, side in enumerate((left, right))]
+        return pa.Table.from_arrays(ends, ["a", "b"])
+
+    return of.groupBy("crowd", "i", "j").applyInArrow(meet, f"a {RID}, b {RID}")
+
+
 def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """rid, component (least rid reachable by links) of keyed rows.  Texts without words are copies of each other."""
     small_batches(spark)
@@ -188,18 +263,18 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
     shared = st.put("shared", firsts.join(size, "h"))
     st.drop("heads")
 
-    tokens = st.put("tokens", shared.groupBy("rid").agg(F.count_if(F.col("count") <= BUCKET).alias("small"), F.count_if(F.col("count") > BUCKET).alias("big")))
+    tokens = st.put("tokens", shared.groupBy("rid").agg(F.count_if(F.col("count") > BUCKET).alias("rest")))
 
-    def across(met: DataFrame, rest: str) -> DataFrame:
-        """Pairs that meet in a bucket, are not yet in one component and can be similar.
+    def across(met: DataFrame) -> DataFrame:
+        """Pairs that meet in a small bucket, are not yet in one component and can be similar.
 
         Similar sets of n and m share s / (1 + s) of n + m, s the similarity, and so many shingles of their prefixes, not just one.  A pair
-        is counted in the buckets given; of the other ones (small or big) it has no more than its lesser member.
+        is counted in the small buckets; of the big ones it has no more than its lesser member.
         """
         x, y = (met.select("h", F.col("rid").alias(r), F.col("n").alias(f"n{r}"), F.col("label").alias(f"l{r}")) for r in "ab")
         pairs = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")))
         pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-        other = lambda r: tokens.select(F.col("rid").alias(r), F.col(rest).alias(f"{r}_rest"))
+        other = lambda r: tokens.select(F.col("rid").alias(r), F.col("rest").alias(f"{r}_rest"))
         pairs = pairs.join(other("a"), "a").join(other("b"), "b")
         least = F.greatest("na", "nb") * similarity  # the prefix leaves so many out
         overlap = (F.col("na") + F.col("nb")) * (similarity / (1 + similarity))
@@ -212,7 +287,7 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
         ends = F.explode(F.array("a", "b")).alias("rid")
         return functools.reduce(DataFrame.unionByName, found).select(ends).groupBy("rid").agg(F.count("*").alias("degree"))
 
-    roots = prove(across(labelled(shared.filter(F.col("count") <= BUCKET)), "big"), sift=True)
+    roots = prove(across(labelled(shared.filter(F.col("count") <= BUCKET))), sift=True)
     big, before = shared.filter(F.col("count") > BUCKET), math.inf
     for turn in range(ROUNDS + 1):
         now = labelled(big).join(degrees(), "rid", "left").fillna(0, ["degree"])
@@ -222,7 +297,9 @@ def similar_copies(spark: SparkSession, rows: DataFrame, k: int = SHINGLE, simil
         if not left:
             break
         if turn == ROUNDS or left > PROGRESS * before:
-            roots = prove(across(big, "small"), sift=True)
+            found.append(st.put("links-crowd", crowds(st, big, base, k, similarity)))
+            roots = components(st, functools.reduce(DataFrame.unionByName, found), "cc-crowd")
+            st.drop("members", "crowd-sets")
             break
         before = left
         roots = prove(big.filter((F.col("rid") != F.col("c.rid")) & (F.col("label") != F.col("c.label")) & fits(F.col("n"), F.col("c.n"))).select(F.col("c.rid").alias("a"), F.col("rid").alias("b")))

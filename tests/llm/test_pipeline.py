@@ -4,6 +4,7 @@ import random
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from llm import similar as similar_module
@@ -65,10 +66,12 @@ def similar(a, b, k=5):
     return 10 * len(x & y) >= 8 * len(x | y)
 
 
-@pytest.mark.parametrize("bucket, rounds", [(32, 4), (2, 4), (2, 1)])
-def test_simhash_stage_finds_all_similar_texts(spark, bucket, rounds, monkeypatch):
+@pytest.mark.parametrize("bucket, rounds, block", [(32, 4, 256), (2, 4, 256), (2, 0, 256), (2, 0, 4)])
+def test_simhash_stage_finds_all_similar_texts(spark, bucket, rounds, block, monkeypatch):
     monkeypatch.setattr(similar_module, "BUCKET", bucket)
     monkeypatch.setattr(similar_module, "ROUNDS", rounds)
+    monkeypatch.setattr(similar_module, "FEWEST", block)
+    monkeypatch.setattr(similar_module, "MOST", block)
     r = random.Random(5)
     rows, line = [], words(r, 12)
     for size in (3, 40, 90, 200):
@@ -80,7 +83,35 @@ def test_simhash_stage_finds_all_similar_texts(spark, bucket, rounds, monkeypatc
             rows.append((len(rows), " ".join(w)))
     rows += [(len(rows) + i, f"{line} {words(r, i % 3)}".strip()) for i in range(9)]
     rows += [(100, ""), (101, None), (102, " \n")]
+    base = words(r, 70).split()  # a crowd: variants of one text, most of them less alike than asked
+    for i in range(60):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice((1, 2, 2, 3))):
+            w[at] = words(r, 1)
+        rows.append((200 + i, " ".join(w)))
     linked = [(a, b) for a in range(len(rows)) for b in range(a) if similar(rows[a][1] or "", rows[b][1] or "")]
     root = brute.classes(len(rows), linked)
     want = sorted(i for at, (i, _) in enumerate(rows) if root[at] == at)
     assert sorted(x[0] for x in kept(corpus_pipeline.simhash_dedup, spark, rows)) == want
+
+
+def test_overlaps_of_sets_in_slices(monkeypatch):
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 20, 40, 40, 80)]
+    left, right = np.array([0, 2, 4, 6]), np.array([1, 3, 5, 0])
+    want = [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+    for cells in (7, 1 << 22):
+        monkeypatch.setattr(similar_module, "CELLS", cells)
+        assert similar_module.overlaps(sets, left, right).tolist() == want
+
+
+def test_forest_joins_labels_as_all_links_do():
+    r = random.Random(7)
+    for _ in range(200):
+        n, m, k = r.randrange(1, 9), r.randrange(0, 9), r.randrange(1, 12)
+        x, y = np.array([r.randrange(k) for _ in range(n)], int), np.array([r.randrange(k) for _ in range(m)], int)
+        linked = np.array([[r.random() < 0.2 for _ in range(m)] for _ in range(n)], bool).reshape(n, m)
+        every = [(x[i], y[j]) for i, j in np.argwhere(linked)]
+        got = similar_module.forest(linked, x, y)
+        assert all(linked[e] for e in got) and len(got) < max(2, len({*x, *y}))
+        assert brute.classes(k, every) == brute.classes(k, [(x[i], y[j]) for i, j in got])
