@@ -1,13 +1,19 @@
-"""The pipeline's stages on null and repeated ids."""
+"""The pipeline's stages, on null and repeated ids among others, and the whole of it."""
 
+import base64
+import hashlib
 import random
+from collections import Counter
 
 import brute
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 from llm import similar as similar_module
+from llm import toxicity as toxicity_module
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -115,3 +121,87 @@ def test_forest_joins_labels_as_all_links_do():
         got = similar_module.forest(linked, x, y)
         assert all(linked[e] for e in got) and len(got) < max(2, len({*x, *y}))
         assert brute.classes(k, every) == brute.classes(k, [(x[i], y[j]) for i, j in got])
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Documents with toxic ones, near copies, a shared passage, null and repeated ids and a column of a clashing name."""
+    r, where = random.Random(11), str(tmp_path_factory.mktemp("corpus"))
+    bad, passage, rows, toxic = ["slur", "hate", "scum"], words(r, 60), [], []
+    for i in range(240):
+        text = words(r, 50)
+        if i % 4 == 0:
+            text = " ".join(f"{w} {r.choice(bad)}" for w in text.split())
+        elif i % 10 == 1:
+            text = f"{text} {passage}"
+        elif i % 10 == 3:
+            text = f"{rows[i - 1][1]} more"
+        toxic.append(int(i % 4 == 0))
+        rows.append((i, text, "en", f"s{i % 3}", len(text), f"x{i}"))
+    rows += [(None, words(r, 30), None, None, None, None), (239, words(r, 30), "en", "s1", 1, "again"), (300, None, "en", "s0", None, None), (301, "", "en", "s0", 0, "")]
+    spark.createDataFrame(rows, f"{SHAPE}, predicted string").repartition(3).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where, rows, toxic
+
+
+def test_toxicity_stage_takes_the_rejected_alone(spark, corpus):
+    where, rows, toxic = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    got = corpus_pipeline.toxicity(spark, docs, where)
+    assert got.columns == docs.columns
+    left = Counter(map(tuple, got.collect()))
+    scored = toxicity_module.score_toxicity(spark, docs, spark.read.parquet(f"{where}/labels.parquet")).select("doc_id", "predicted").collect()
+    assert not left - Counter(rows) and sum(left.values()) == sum(x.predicted == 0 for x in scored)
+    assert Counter(x[0] for x in left.elements()) == Counter(x.doc_id for x in scored if x.predicted == 0)
+    assert not [x for x in left if x[0] in range(239) and toxic[x[0]]] and all(left[x] for x in rows if x[0] is None or x[0] > 239 or not toxic[x[0]])
+
+
+def test_mixing_stage_repeats_whole_rows(spark, corpus):
+    where, rows, _ = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    got = corpus_pipeline.mixing(spark, docs, where)
+    assert got.columns == docs.columns
+    drawn = Counter(map(tuple, got.collect()))
+    assert drawn and set(drawn) <= set(rows)
+
+
+def encoding():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def tokens_of(library, text):
+    ids = library.encode_ordinary(text or "")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return len(ids), tuple(ids), sha(",".join(map(str, ids)).encode()), sha((text or "").encode())
+
+
+def test_tokens_stage_is_the_library(spark, corpus):
+    where, rows, _ = corpus
+    library = encoding()
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(f"{where}/documents.parquet"), where).collect()
+    assert Counter((x.doc_id, x.n_tokens, tuple(x.ids), x.ids_sha256, x.decoded_sha256) for x in got) == Counter((x[0], *tokens_of(library, x[1])) for x in rows)
+
+
+def test_run_is_its_stages_one_after_another(spark, corpus, tmp_path):
+    where, rows, toxic = corpus
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    plain = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, where)
+        docs.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        plain[name] = [tuple(x) for x in docs.collect()]
+    clean = [x for x in rows if not (x[0] is not None and x[0] < 240 and x[0] % 4 == 0)]
+    assert Counter(plain["toxicity"]) == Counter(clean)
+    one = []  # the first of each group of near copies, null and empty texts being one group
+    for x in sorted(clean, key=lambda x: (x[0] is not None, x[0] or 0)):
+        if not any(similar(x[1] or "", y[1] or "") or not (x[1] or y[1]) for y in one):
+            one.append(x)
+    assert Counter(plain["simhash near-dedup"]) == Counter(one)
+    library = encoding()
+    want = Counter((x[0], *tokens_of(library, x[1])) for x in plain["source mixing"])
+    got = corpus_pipeline.run(spark, where).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256").collect()
+    assert Counter((x[0], x[1], tuple(x[2]), x[3], x[4]) for x in got) == want
+    assert set(plain["source mixing"]) <= set(plain["substring dedup"])
