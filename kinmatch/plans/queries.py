@@ -111,11 +111,13 @@ class View:
 
     @functools.cached_property
     def weights(self):
-        return block.weights(self.tf, block.vocabulary(self.tf, self.norm, SMALL))
+        """Written once: both kinds of candidates start from them."""
+        return io.stage(block.weights(self.tf, block.vocabulary(self.tf, self.norm, SMALL)), scratch(self.spark, "weights"))
 
     @functools.cached_property
     def top(self):
-        return block.top_pairs(block.cosines(self.weights, SMALL), SMALL.top_k)
+        """Written once: candidates take them as they are and keep them apart from those that only a key found."""
+        return io.stage(block.nearest(self.weights, SMALL), scratch(self.spark, "top"))
 
     @functools.cached_property
     def full(self):

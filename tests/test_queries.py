@@ -106,3 +106,26 @@ def test_command_lines(spark, tmp_path, capsys):
     bad.write_text("source1_entity_id,matched_entity_ids\nS1-0 S2-1\n")
     assert cli.main(["validate", "--result", str(bad), "--entries", paths[0]], spark) == 1
     assert "comma_header" in capsys.readouterr().out
+
+
+def test_nearest_is_the_join_of_all_terms(spark, monkeypatch):
+    """Cells of a few vectors, ties at every cut, queries without any known term: as from the join of all terms."""
+    import random
+
+    from kinmatch.config import SMALL
+    from kinmatch.operators import block
+
+    monkeypatch.setattr(block, "BLOCK", 20)
+    monkeypatch.setattr(block, "CHUNK", 15)
+    rng, rows = random.Random(7), []
+    for i in range(160):
+        src, kin = i % 3 + 1, [rng.randrange(12) for _ in range(6)]
+        for space, ts in (("n", set(kin[:3])), ("a", set(kin[3:]))):
+            rows += [(f"S{src}-{i}", src, "xy"[i % 2] if i < 150 else "z", space, f"t{x}", 1 / math.sqrt(len(ts))) for x in ts]
+    w = spark.createDataFrame(rows, "entity_id string, src int, country string, space string, term string, w double").cache()
+    got = block.nearest(w, SMALL)
+    con, _ = duckdb.connect(), w.toPandas()
+    con.register("wt", _)
+    n, a = (f"round(coalesce(sum(q.w * s.w) FILTER (space = '{c}'), 0), 6)" for c in "na")
+    want = con.sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s1) AS r FROM (SELECT *, round({SMALL.name_weight}::DOUBLE * n + {1 - SMALL.name_weight}::DOUBLE * a, 6) AS score FROM (SELECT q.entity_id AS q, s.entity_id AS s1, {n} AS n, {a} AS a FROM wt q JOIN wt s USING (country, space, term) WHERE q.src > 1 AND s.src = 1 GROUP BY ALL))) WHERE r <= {SMALL.top_k}").fetchall()
+    assert sorted((x.q, x.s1, x.name_cos, x.addr_cos, x.score) for x in got.collect()) == sorted((q, s, n, a, p) for q, s, n, a, p, _ in want)
