@@ -179,8 +179,8 @@ def tsv_round_trip(v):
     """Writes the records as TSV by source and reads them back."""
     root = scratch(v.spark, "tsv")
     for src in (1, 2, 3):
-        io.write_tsv(v.rec.filter(F.col("src") == src).select("entity_id", "business_name", "business_address", "country"), f"{root}/{src}")
-    return io.read_sources(v.spark, {src: f"{root}/{src}" for src in (1, 2, 3)})
+        io.write_records(v.rec.filter(F.col("src") == src), f"{root}/{src}")
+    return io.read_sources(v.spark, {src: f"{root}/{src}" for src in (1, 2, 3)}, io.read_records)
 
 
 @query

@@ -129,3 +129,10 @@ def test_nearest_is_the_join_of_all_terms(spark, monkeypatch):
     n, a = (f"round(coalesce(sum(q.w * s.w) FILTER (space = '{c}'), 0), 6)" for c in "na")
     want = con.sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, s1) AS r FROM (SELECT *, round({SMALL.name_weight}::DOUBLE * n + {1 - SMALL.name_weight}::DOUBLE * a, 6) AS score FROM (SELECT q.entity_id AS q, s.entity_id AS s1, {n} AS n, {a} AS a FROM wt q JOIN wt s USING (country, space, term) WHERE q.src > 1 AND s.src = 1 GROUP BY ALL))) WHERE r <= {SMALL.top_k}").fetchall()
     assert sorted((x.q, x.s1, x.name_cos, x.addr_cos, x.score) for x in got.collect()) == sorted((q, s, n, a, p) for q, s, n, a, p, _ in want)
+
+
+def test_tsv_keeps_empty_and_missing_apart(spark, tmp_path):
+    rows = [("S1-0", "a", "", "en"), ("S1-3", "", None, "de"), ("S1-6", None, "1 b", None), ("S1-9", "\\N", "\\\\N", ""), ("S1-12", " c", "N", "\\")]
+    rec = spark.createDataFrame(rows, io.RECORD)
+    io.write_records(rec, str(tmp_path / "1"))
+    assert sorted(map(tuple, io.read_records(spark, str(tmp_path / "1")).collect())) == sorted(rows)
