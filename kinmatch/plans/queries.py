@@ -161,6 +161,12 @@ class View:
     def channel_pairs(self):
         return block.meet(block.channels(self.fwd), ["country", "channel", "key"], 25)
 
+    @functools.cached_property
+    def tier_keys(self):
+        """Written once: both sides and both kinds of tokens start from them."""
+        fwd = io.stage(self.fwd, scratch(self.spark, "forward"))
+        return io.stage(block.tier_channels(fwd), scratch(self.spark, "tiers"))
+
     @functools.cached_property
     def tier_pairs(self):
         return block.meet(block.tier_channels(self.fwd), ["country", "tier", "channel", "key"])
@@ -460,12 +466,12 @@ def tier_quota(v):
 
 @query
 def evidence_topk(v):
-    return block.evidence(v.tier_pairs, v.fwd, 3)
+    return block.evidence(v.tier_keys, v.fwd, 3)
 
 
 @query
 def shared_key_top20(v):
-    return block.shared_keys(v.tier_pairs, 20)
+    return block.shared_keys(v.tier_keys, 20)
 
 
 # Pair features

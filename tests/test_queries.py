@@ -136,3 +136,26 @@ def test_tsv_keeps_empty_and_missing_apart(spark, tmp_path):
     rec = spark.createDataFrame(rows, io.RECORD)
     io.write_records(rec, str(tmp_path / "1"))
     assert sorted(map(tuple, io.read_records(spark, str(tmp_path / "1")).collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("name", ["evidence_topk", "shared_key_top20"])
+def test_kinds_of_records_meet(spark, tmp_path, name):
+    """Copies of texts with other lengths, more of them than places: as in SQL."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    copies = d.filter("doc_id % 10 = 0").crossJoin(spark.range(9).withColumnRenamed("id", "k"))
+    copies = copies.select((F.col("doc_id") + 1000 * (F.col("k") + 1) + F.col("k")).alias("doc_id"), "text", "lang", "source", (F.col("n_chars") + F.col("k") % 2).alias("n_chars"))
+    d.unionByName(copies).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want, got = con.sql(oracle.ORACLE[name]).df(), queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+    rows = lambda d: sorted(map(str, (tuple(map(tidy, r)) for r in d[sorted(d.columns)].itertuples(index=False))))
+    assert rows(got) == rows(want)
+
+
+def test_bundled_keys_meet_once(spark):
+    """Records alike meet once, by all their keys at once."""
+    from kinmatch.operators import block
+
+    rows = [(f"S{i % 3 + 1}-{i}", i % 3 + 1, "en", 1, c, f"{c} x") for i in range(90) for c in ("clean", "compact", "core")]
+    members, kinds = block.alike(spark.createDataFrame(rows, "entity_id string, src int, country string, tier int, channel string, key string"))
+    assert members.count() == 90 and sorted((r.q_src, r.n) for r in block.meet_kinds(kinds).collect()) == [(2, 3), (3, 3)]
