@@ -509,7 +509,7 @@ def feat_uniq(v):
 
 @query
 def feat_ambiguity(v):
-    return features.ambiguity(v.pairs, v.meta).select("q", "s1", *features.NAMES)
+    return features.ambiguity(features.pair_up(v.cand, features.crowded(v.meta))).select("q", "s1", *features.NAMES)
 
 
 @query

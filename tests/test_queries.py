@@ -159,3 +159,25 @@ def test_bundled_keys_meet_once(spark):
     rows = [(f"S{i % 3 + 1}-{i}", i % 3 + 1, "en", 1, c, f"{c} x") for i in range(90) for c in ("clean", "compact", "core")]
     members, kinds = block.alike(spark.createDataFrame(rows, "entity_id string, src int, country string, tier int, channel string, key string"))
     assert members.count() == 90 and sorted((r.q_src, r.n) for r in block.meet_kinds(kinds).collect()) == [(2, 3), (3, 3)]
+
+
+def test_texts_of_pairs_travel_once(spark):
+    """Where all features are built, one exchange of pairs carries raw texts, and that of one side only."""
+    import re
+
+    cand = spark.createDataFrame([], "q string, s1 string, score double, name_cos double, addr_cos double, via_key int, rank int")
+    norm = spark.createDataFrame([], "entity_id string, src int, country string, business_name string, business_address string, nm string, ad string, spelt string")
+    dec, truth = spark.createDataFrame([], "country string, tok string, dec double"), spark.createDataFrame([], "s1 string, q string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.debug.maxToStringFields": "1000", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation,org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, x in conf.items():
+        spark.conf.set(k, x)
+    try:
+        out = features.build(cand, features.metadata(norm), dec, truth)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+    sent = [set(re.findall(r"(\w+)#\d+", x)) for x in re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)]
+    wide = [x & {"raw_name_q", "raw_addr_q", "raw_name_s", "raw_addr_s"} for x in sent if {"q", "s1"} <= x]
+    assert [x for x in wide if x] == [{"raw_name_s", "raw_addr_s"}]
